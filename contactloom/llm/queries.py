@@ -16,6 +16,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The public vocabulary file; the operators take its path as a parameter."""
     import public_tokenizers
@@ -37,6 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_licenses": op2_licenses,
     "op8_bpe": op8_bpe,
     "op10_packing": op10_packing,
 }

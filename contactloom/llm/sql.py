@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import PHRASES, TEMPLATES, THRESHOLD, template_words
 from .quality import BASE_MIN_WORDS, BASE_REPEAT_PERCENT, RULES, STOP_FORMS
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_FORMS)
@@ -41,6 +42,38 @@ WITH d AS (
 SELECT *, NOT base_failed AND failed_rules = '' AS kept FROM v
 """
 
+_TEMPLATE_ROWS = ", ".join(f"('{label}', [" + ", ".join(f"'{w}'" for w in template_words(t)) + "])" for label, t in TEMPLATES)
+_PLACES = " UNION ALL ".join(
+    f"SELECT rid, i - 1 AS p, '{label}' AS label FROM (SELECT rid, w, unnest(generate_series(1, len(w))) AS i FROM e WHERE contains(flat, ' {phrase} ')) "
+    f"WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
+    for phrase, label in PHRASES
+)
+
+OP2 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), e AS (
+  SELECT *, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, ' ' || array_to_string(w, ' ') || ' ' AS flat FROM d
+), p AS ({_PLACES}
+), b AS (
+  SELECT rid, count(*) AS n, min(p) AS a, max(p) AS z, list_sort(list(DISTINCT label)) AS l FROM p GROUP BY rid
+), lines AS (
+  SELECT rid, regexp_extract_all(unnest(string_split(t, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM d
+), c AS (
+  SELECT rid, label, max(len(list_intersect(x, ws)) / len(ws)) AS s
+  FROM lines, (VALUES {_TEMPLATE_ROWS}) AS k(label, ws)
+  WHERE len(list_intersect(x, ws)) >= ceil({THRESHOLD} * len(ws) - 1e-9) GROUP BY rid, label
+), m AS (
+  SELECT rid, list(label) AS own, max(s) AS s FROM c GROUP BY rid
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word,
+  coalesce(array_to_string(l, ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(l, []), coalesce(own, [])))), ',') AS labels,
+  greatest(CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, coalesce(s, 0.0::DOUBLE)) AS score
+FROM e LEFT JOIN b USING (rid) LEFT JOIN m USING (rid)
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_licenses": OP2,
     "op1_quality": OP1,
 }
