@@ -29,6 +29,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_digests
 
@@ -44,6 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_licenses": op2_licenses,
+    "op6_neardup": op6_neardup,
     "op8_bpe": op8_bpe,
     "op10_packing": op10_packing,
 }
