@@ -29,6 +29,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -50,6 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_licenses": op2_licenses,
+    "op5_linedup": op5_linedup,
     "op6_neardup": op6_neardup,
     "op8_bpe": op8_bpe,
     "op10_packing": op10_packing,
