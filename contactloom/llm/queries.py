@@ -47,6 +47,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_linedup": op5_linedup,
     "op6_neardup": op6_neardup,
     "op8_bpe": op8_bpe,
+    "op9_ann": op9_ann,
     "op10_packing": op10_packing,
 }
 
