@@ -29,6 +29,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linedup import line_dedup
 
@@ -62,6 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_licenses": op2_licenses,
+    "op4_html": op4_html,
     "op5_linedup": op5_linedup,
     "op6_neardup": op6_neardup,
     "op8_bpe": op8_bpe,
