@@ -29,6 +29,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language
+
+    return language(table(spark, sf_dir, "documents"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract
 
@@ -68,6 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_licenses": op2_licenses,
+    "op3_language": op3_language,
     "op4_html": op4_html,
     "op5_linedup": op5_linedup,
     "op6_neardup": op6_neardup,
