@@ -60,6 +60,8 @@ class Crf:
         self.langs, self.lexicons = langs, lexicons
         self.weights = np.zeros((TABLE + 1, len(langs)), np.float32)  # the last row pads and stays zero
         self.moves = np.zeros((len(langs), len(langs)))
+        #: what a worker has found about words: their numbers and emissions
+        self.state: tuple[dict[str, int], list[np.ndarray]] | None = None
 
     def table(self, words: list[str]) -> np.ndarray:
         out = np.full((len(words), WIDTH), TABLE, np.int32)
@@ -178,12 +180,11 @@ def _fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-_STATE: dict[int, tuple[dict[str, int], list[np.ndarray]]] = {}
-
-
 def _predict(model: Crf, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and score of each text."""
-    known, rows = _STATE.setdefault(id(model), ({}, [np.empty((0, len(model.langs)))]))
+    if model.state is None:
+        model.state = {}, [np.empty((0, len(model.langs)))]
+    known, rows = model.state
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     found = [words_of(t) for t in texts]
     lengths = np.array([len(w) for w in found])

@@ -102,7 +102,7 @@ def _line_measures(text: Column) -> Column:
     )
 
 
-def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None, only_kept: bool = False) -> DataFrame:
     """Two structs: ``_row``, the row of ``docs`` (its columns ``keep``), and ``_quality``, all measures and the two verdicts.
 
     The input stays packed beside the work columns, so names cannot clash.
@@ -141,7 +141,11 @@ def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
             (~base & (failed == "")).alias("kept"),
         )
 
-    return df.select("_row", let(m, verdicts).alias("_quality"))
+    if not only_kept:
+        return df.select("_row", let(m, verdicts).alias("_quality"))
+    # a filter would be pushed below the projections and repeat them; a generator stays above
+    good = F.filter(F.transform(F.array(m), verdicts), lambda v: v["kept"])
+    return df.select("_row", F.explode(good).alias("_quality"))
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,4 +155,4 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, with their own columns."""
-    return measures(docs, text).where("_quality.kept").select("_row.*")
+    return measures(docs, text, only_kept=True).select("_row.*")
