@@ -167,7 +167,7 @@ def running_window(pixels: DataFrame, bins: DataFrame, odd: int) -> DataFrame:
     x = pixels.select("bin1", "bin2", "value", F.explode(around).alias("o")).select((F.col("bin1") + F.col("o.i")).alias("bin1"), (F.col("bin2") + F.col("o.j")).alias("bin2"), "value")
     x = x.where("bin1 <= bin2").groupBy("bin1", "bin2").agg(F.sum("value").alias("value"))
     b = small(bins.select("bin_id"))
-    return x.join(b.toDF("bin1"), "bin1", "left_semi").join(b.toDF("bin2"), "bin2", "left_semi")
+    return x.join(b.toDF("bin1"), "bin1", "left_semi").join(b.toDF("bin2"), "bin2", "left_semi").select("bin1", "bin2", "value")
 
 
 def domain_groups(bins: DataFrame, domains: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ CTE = {
     "iv": "SELECT event_type AS chrom, CAST(floor(epoch(ts)) - 1704067200 AS BIGINT) AS start, CAST(floor(epoch(ts)) - 1704067200 AS BIGINT) + 60 + 10 * (event_id % 50) AS \"end\", event_id AS id, value AS score FROM events",
     "doms": """SELECT * FROM (SELECT chrom, start, lead(start) OVER (PARTITION BY chrom ORDER BY start) AS "end", chrom * 1000 + row_number() OVER (PARTITION BY chrom ORDER BY start) AS id FROM bins WHERE (start // 10000) % 5 = chrom % 3) WHERE "end" IS NOT NULL""",
     "points": "SELECT 1 + p_partkey % 5 AS chrom, (p_partkey // 5) * 1000 AS start, (p_partkey // 5) * 1000 + 1000 AS \"end\", p_name AS gene, p_partkey AS id, (1 + p_partkey % 5) * 1000000 + (p_partkey // 5) * 1000 // 10000 AS bin_id FROM part WHERE p_size = 1",
-    "track": """SELECT bin_id, v - avg(v) OVER (PARTITION BY bin_id // 1000000) AS value FROM (SELECT (1 + p_partkey % 5) * 1000000 + (p_partkey // 5) * 1000 // 10000 AS bin_id, avg(p_retailprice) AS v FROM part GROUP BY 1)""",
+    "track": """SELECT bin_id, round(v - avg(v) OVER (PARTITION BY bin_id // 1000000), 6) AS value FROM (SELECT (1 + p_partkey % 5) * 1000000 + (p_partkey // 5) * 1000 // 10000 AS bin_id, avg(p_retailprice) AS v FROM part GROUP BY 1)""",
 }
 
 

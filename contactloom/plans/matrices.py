@@ -136,7 +136,7 @@ def merge_bins(spark, d):
     return M.reduce(px, M.coarsen_map(bins, 3))
 
 
-@register("merge_domain_bins", sql(_REDUCE, *PX, *BINS, "doms", g="""SELECT bin_id, chrom * 1000000 + sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start) AS grp FROM (SELECT b.*, EXISTS (SELECT 1 FROM doms d WHERE d.chrom = b.chrom AND (d.start = b.start OR d."end" = b.start)) AS e FROM bins b)"""))
+@register("merge_domain_bins", sql(_REDUCE, *PX, *BINS, "doms", g="""SELECT bin_id, (chrom * 1000000 + sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start))::BIGINT AS grp FROM (SELECT b.*, EXISTS (SELECT 1 FROM doms d WHERE d.chrom = b.chrom AND (d.start = b.start OR d."end" = b.start)) AS e FROM bins b)"""))
 def merge_domain_bins(spark, d):
     px, bins = _inputs(spark, d)
     return M.reduce(px, M.domain_groups(bins, T.domains(spark, d)))
