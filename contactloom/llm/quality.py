@@ -141,11 +141,9 @@ def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
             (~base & (failed == "")).alias("kept"),
         )
 
-    if not only_kept:
-        return df.select("_row", let(m, verdicts).alias("_quality"))
-    # a filter would be pushed below the projections and repeat them; a generator stays above
-    good = F.filter(F.transform(F.array(m), verdicts), lambda v: v["kept"])
-    return df.select("_row", F.explode(good).alias("_quality"))
+    # filters on the verdicts would be pushed below the projections and repeat them; a generator stays above
+    judged = F.transform(F.array(m), verdicts)
+    return df.select("_row", F.explode(F.filter(judged, lambda v: v["kept"]) if only_kept else judged).alias("_quality"))
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
