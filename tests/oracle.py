@@ -20,8 +20,8 @@ def rows(df):
     def plain(v):
         if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return None
-        if isinstance(v, float):
-            return float(f"{v:.9g}")
+        if isinstance(v, (int, float)) and not isinstance(v, bool):  # columns with NULL come as floats from one side
+            return float(f"{v:.12g}") if isinstance(v, int) or v.is_integer() else float(f"{v:.9g}")
         return str(v.tolist()) if hasattr(v, "tolist") else v
 
     df = df[sorted(df.columns)]
