@@ -53,6 +53,12 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_digests
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html": op4_html,
     "op5_linedup": op5_linedup,
     "op6_neardup": op6_neardup,
+    "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
     "op9_ann": op9_ann,
     "op10_packing": op10_packing,
