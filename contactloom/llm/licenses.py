@@ -1,12 +1,15 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with notice templates.
 
-A block is a line of the text; it matches a template if it holds at least
-``threshold`` of the template's distinct words. The words of all templates are
+A block is a line of the text, or a window of as many words as the template has,
+over line breaks, so that wrapped notices count; it matches a template if it holds
+at least ``threshold`` of the template's distinct words. The words of all templates are
 ordered by the number of documents of the whole corpus that hold them, rarest
 first. A block can only reach the needed overlap if (prefix filter) it holds one
 of the rarest ``size - needed + 1`` words of the template, (length filter) it
 holds enough template words at all, and (positional filter) the words from the
 first common one on, in both orders, still suffice. What passes is counted out.
+Blocks are only built in texts that hold enough words of a template at all, and
+windows only start at a template word with enough of them within the length.
 
 The templates are constants, so the join runs inside the row and nothing is
 shuffled but the counts of at most as many words as the templates have.
@@ -45,10 +48,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 THRESHOLD = 0.8
 
 
-def template_words(text: str) -> list[str]:
+def _sequence(text: str) -> list[str]:
     import re
 
-    return list(dict.fromkeys(re.findall(r"[a-z0-9]+", text.lower())))
+    return re.findall(r"[a-z0-9]+", text.lower())
+
+
+def template_words(text: str) -> list[str]:
+    return list(dict.fromkeys(_sequence(text)))
 
 
 def _flat(text: Column) -> Column:
@@ -74,6 +81,36 @@ def word_order(docs: DataFrame, text: str, templates=TEMPLATES) -> list[str]:
     return sorted(vocabulary, key=lambda w: (of.get(w, 0), w))
 
 
+def _window_containment(w: Column, templates, threshold: float) -> Column:
+    """For each template the largest share of its words that one window of its length holds, or 0 if below the threshold."""
+    def of(t: str) -> Column:
+        ws, length = template_words(t), len(_sequence(t))
+        need = math.ceil(threshold * len(ws) - 1e-9)
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(_literals(ws), F.get(w, i)))
+        starts = let(at, lambda a: F.filter(a, lambda p, k: F.get(a, k + (need - 1)) - p < length))
+        held = F.array_max(F.transform(starts, lambda p: F.size(F.array_intersect(_literals(ws), F.slice(w, p + 1, F.lit(length))))))
+        # too few words in the whole text: no window is looked at
+        enough = F.size(F.array_intersect(_literals(ws), w)) >= need
+        return F.when(enough, F.coalesce(F.when(held >= need, held / F.lit(float(len(ws)))), F.lit(0.0))).otherwise(F.lit(0.0))
+
+    return F.array(*[of(t) for _, t in templates])
+
+
+def _containment(text: Column, flat: Column, order: list[str], templates, threshold: float) -> Column:
+    """For each template the largest share over lines and windows."""
+    sets = [template_words(t) for _, t in templates]
+
+    def best(held: Column) -> Column:
+        any_ = F.lit(False)
+        for ws in sets:
+            any_ = any_ | (F.size(F.array_intersect(held, _literals(ws))) >= math.ceil(threshold * len(ws) - 1e-9))
+        windows = let(F.split(F.trim(flat), " "), lambda w: _window_containment(w, templates, threshold))
+        both = F.zip_with(_best_containment(_lines(text), order, templates, threshold), windows, lambda p, q: F.greatest(p, q))
+        return F.when(any_, both).otherwise(F.array(*[F.lit(0.0)] * len(sets)))
+
+    return let(F.array_intersect(_literals(order), F.split(flat, " ")), best)
+
+
 def _best_containment(lines: Column, order: list[str], templates, threshold: float) -> Column:
     """For each template the largest share of its words that one line holds, or 0 if below the threshold."""
     rank = {w: k for k, w in enumerate(order)}
@@ -141,7 +178,7 @@ def license_scan(
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = word_order(docs, "text", templates)
     names = [label for label, _ in templates]
-    df = docs.select("doc_id", _flat(F.col("text")).alias("_flat"), _best_containment(_lines(F.col("text")), order, templates, threshold).alias("_best"))
+    df = docs.select("doc_id", _flat(F.col("text")).alias("_flat"), let(_flat(F.col("text")), lambda f: _containment(F.col("text"), f, order, templates, threshold)).alias("_best"))
     df = df.select("doc_id", "_best", F.when(F.trim("_flat") == "", 0).otherwise(F.regexp_count("_flat", F.lit(" ")) - 1).cast("bigint").alias("n_words"), _places(F.col("_flat"), phrases).alias("_at"))
     base = F.array_sort(F.array_distinct(F.col("_at")["label"]))
     own = F.filter(F.array(*[F.when(F.get("_best", F.lit(k)) > 0, F.lit(n)) for k, n in enumerate(names)]), lambda x: x.isNotNull())
