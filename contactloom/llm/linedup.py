@@ -1,6 +1,9 @@
 """Line dedup over the suffix array of line ids, by distributed prefix doubling.
 
-Lines are ids (128 hash bits of the whole line). Only lines that occur twice or
+Lines are cut into units behind punctuation, so that a passage joined to other
+text within its first and last line still shares the units between. A "line" below
+is such a unit; its id is 128 hash bits of the unit without spaces around it. A run
+that begins or ends within a unit loses that unit. Only lines that occur twice or
 more can lie in a repeated run, so the sequences are the stretches of such lines.
 Prefix doubling ranks every position by its first 1, 2, 4, ... lines: the rank of
 a position in round k + 1 is its rank in round k plus the number of positions of
@@ -30,19 +33,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, let
 
 MIN_WORDS = 50
+#: Between two units of a line: behind punctuation, where white space and more text, or after CJK marks more text, follows. So no unit is without a word, but for lines without one.
+UNIT = r"(?<=[.,;:!?…])(?=[ \t]+\S)|(?<=[。！？；，、])(?=[ \t]*\S)"
+#: A unit's number is that of its physical line times this, and its place in the line.
+STEP = 1 << 31
 
 
+def _units(text: Column) -> Column:
+    """For each physical line the array of its units; they joined give the line."""
+    return F.transform(F.split(text, "\n", -1), lambda x: F.split(x, UNIT, -1))
+
+
+def _numbers(units: Column) -> Column:
+    return F.flatten(F.transform(units, lambda u, i: F.transform(F.sequence(F.lit(0), F.size(u) - 1), lambda k: i.cast("bigint") * STEP + k)))
+
 
 def _text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """d, t (text key), j (number among the lines with a word), i (line number), h1, h2, words."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    """d, t (text key), j (number among the lines with a word), i (unit number), h1, h2, words."""
+    lines = F.flatten(F.transform(_units(F.col("text")), lambda u, i: F.transform(u, lambda x, k: F.struct((i.cast("bigint") * STEP + k).alias("i"), F.trim(x).alias("x")))))
     worded = F.filter(lines, lambda s: s["x"].rlike(WORD))
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), _text_key(F.col("text")).alias("t"), F.posexplode(worded).alias("j", "l"))
     x = F.col("l.x")
@@ -105,7 +120,7 @@ def _double(ranks: DataFrame, step: int) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, t, i): the lines that lie in a later copy of a repeated run."""
+    """(d, t, i): the units that lie in a later copy of a repeated run."""
     rep = cut(_windows(repeated_stretches(docs), min_words))
     # the runs to decide on: where they start and how many lines they have
     runs = rep.where("n IS NOT NULL").select("d", "t", "seg", "j", "n").union(rep.where("e IS NOT NULL").select("d", "t", "seg", (F.col("j") - F.col("e") + 1).alias("j"), F.col("e").alias("n"))).distinct()
@@ -134,30 +149,48 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _with_gone(docs: DataFrame, min_words: int) -> DataFrame:
-    """Structs ``_row`` and ``_text``, and ``_gone``, the sorted numbers of the deleted lines or NULL."""
+    """Structs ``_row`` and ``_text``, and ``_gone``, the sorted numbers of the deleted units or NULL."""
     gone = later_copies(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), min_words)
     gone = gone.groupBy("d", "t").agg(F.sort_array(F.collect_list("i")).alias("_gone"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("d"), _text_key(F.col("text")).alias("t"))
     return rows.join(gone, ["d", "t"], "left").select("_row", "_gone")
 
 
+def _left(units: Column, gone: Column) -> Column:
+    return F.array_except(_numbers(units), gone)
+
+
 def _rest(text: Column, gone: Column) -> Column:
-    """The lines that are left, joined again."""
-    lines = F.split(text, "\n", -1)
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    left = F.array_except(numbers, gone)
-    return F.when(gone.isNull(), text).otherwise(F.concat_ws("\n", F.transform(left, lambda i: F.get(lines, i))))
+    """The units that are left, joined again; a line without any goes with its line break."""
+    def joined(units: Column) -> Column:
+        def piece(left: Column, n: Column, k: Column) -> Column:
+            line = F.floor(n / STEP).cast("int")
+            same = (k == 0) | (F.floor(F.get(left, k - 1) / STEP) == F.floor(n / STEP))
+            return F.concat(F.when(same, "").otherwise("\n"), F.get(F.get(units, line), (n % STEP).cast("int")))
+
+        return let(_left(units, gone), lambda left: F.array_join(F.transform(left, lambda n, k: piece(left, n, k)), ""))
+
+    return F.when(gone.isNull(), text).otherwise(let(_units(text), joined))
+
+
+def _lines_gone(text: Column, gone: Column) -> Column:
+    """Numbers of the physical lines of which nothing is left, or NULL."""
+    def lost(units: Column) -> Column:
+        return F.array_except(F.sequence(F.lit(0), F.size(units) - 1).cast("array<bigint>"), F.transform(_left(units, gone), lambda n: F.floor(n / STEP)))
+
+    return F.when(gone.isNotNull(), let(_units(text), lost))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_lines, n_deleted, deleted (line numbers from 0) and the text that is left."""
+    """doc_id, n_lines, n_deleted, deleted (numbers from 0 of the lines deleted whole) and the text that is left, also without parts of lines."""
     df = _with_gone(docs.select("doc_id", "text"), min_words)
     text = F.col("_row.text")
+    df = df.withColumn("_lost", _lines_gone(text, F.col("_gone")))
     return df.select(
         "_row.doc_id",
         F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_deleted"),
-        F.array_join(F.col("_gone"), ",").alias("deleted"),
+        F.coalesce(F.size("_lost"), F.lit(0)).cast("bigint").alias("n_deleted"),
+        F.array_join(F.col("_lost"), ",").alias("deleted"),
         _rest(text, F.col("_gone")).alias("text"),
     )
 

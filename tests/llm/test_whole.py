@@ -4,7 +4,7 @@ import textwrap
 
 import pytest
 
-from contactloom.llm import licenses
+from contactloom.llm import licenses, linedup
 
 
 @pytest.mark.parametrize("width", [40, 79])
@@ -18,3 +18,11 @@ def test_wrapped_notices_match(spark, width):
 def test_scattered_template_words_do_not_match(spark):
     text = "\n".join(w + " filler" * 10 for w in licenses.template_words(licenses.TEMPLATES[4][1]))
     assert licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()["labels"] == ""
+
+
+def test_passage_joined_to_other_text_goes(spark):
+    passage = "Ab cd, ef gh.\n" + ", ".join(f"p{k} q{k}" for k in range(26)) + ". Yz zy.\nlast words, xa xb."
+    docs = [(1, f"one two three {passage} four five\nend of one"), (2, f"six seven {passage}*** eight\nend of two"), (3, "a b, c d.\ne f")]
+    got = {r["doc_id"]: r for r in linedup.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got[1]["text"] == docs[0][1] and got[3]["text"] == docs[2][1]
+    assert got[2]["text"] == "six seven Ab cd,\n xa xb.*** eight\nend of two" and got[2]["deleted"] == "1"
