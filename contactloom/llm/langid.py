@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .tokens import chunks
 
 LETTERS = re.compile(r"[^\W\d_]+")
-TABLE, WIDTH = 1 << 17, 32
+TABLE = 1 << 17
 PER_LANG, MOST_CHARS, LEXICON = 100, 6000, 300
 ROUNDS, RATE, DECAY = 25, 0.15, 1e-4
 CACHE_WORDS = 200_000
@@ -46,34 +47,45 @@ def words_of(text: str | None) -> list[str]:
 
 
 def features(word: str, lexicons: list[set[str]]) -> list[int]:
-    """Places in the weight table; 0 is the bias every word has. Long words keep all affixes and the first n-grams that fit."""
-    w = "^" + word[:40] + "$"
+    """Places in the weight table; 0 is the bias every word has. Words of any length keep all their n-grams."""
+    w = "^" + word + "$"
     names = ["w" + word, "a" + word[:1], "b" + word[:2], "c" + word[:3], "x" + word[-1:], "y" + word[-2:], "z" + word[-3:]]
     names += [f"l{k}" for k, s in enumerate(lexicons) if word in s]
     names += ["2" + w[k : k + 2] for k in range(len(w) - 1)]
     names += ["3" + w[k : k + 3] for k in range(len(w) - 2)]
-    return [0, *[1 + zlib.crc32(n.encode("utf-8", "surrogatepass")) % (TABLE - 1) for n in names[: WIDTH - 1]]]
+    return [0, *[1 + zlib.crc32(n.encode("utf-8", "surrogatepass")) % (TABLE - 1) for n in names]]
 
 
 class Crf:
     def __init__(self, langs: list[str], lexicons: list[set[str]]):
         self.langs, self.lexicons = langs, lexicons
-        self.weights = np.zeros((TABLE + 1, len(langs)), np.float32)  # the last row pads and stays zero
+        self.weights = np.zeros((TABLE, len(langs)), np.float32)
         self.moves = np.zeros((len(langs), len(langs)))
         #: what a worker has found about words: their numbers and emissions
         self.state: tuple[dict[str, int], list[np.ndarray]] | None = None
 
-    def table(self, words: list[str]) -> np.ndarray:
-        out = np.full((len(words), WIDTH), TABLE, np.int32)
-        for k, w in enumerate(words):
-            f = features(w, self.lexicons)
-            out[k, : len(f)] = f
-        return out
-
-    def emissions(self, table: np.ndarray) -> np.ndarray:
-        out = np.empty((len(table), len(self.langs)))
-        for s in range(0, len(table), 16384):
-            out[s : s + 16384] = self.weights[table[s : s + 16384]].sum(axis=1)
+    def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The features of all words one after another, and where each word's begin."""
+        out, starts = array("i"), []
+        for w in words:
+            starts.append(len(out))
+            out.extend(features(w, self.lexicons))
+        return np.array(out, np.int32), np.array(starts, np.int64)
+
+    def emissions(self, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        flat, starts = table
+        out = np.zeros((len(starts), len(self.langs)))
+        ends = np.append(starts[1:], len(flat))
+        s = 0
+        while s < len(starts):
+            # words of about 2**19 features at a time; a longer word alone, its features in slices
+            e = max(s + 1, int(np.searchsorted(ends, starts[s] + (1 << 19), side="right")))
+            if e == s + 1:
+                for k in range(int(starts[s]), int(ends[s]), 1 << 19):
+                    out[s] += self.weights[flat[k : min(k + (1 << 19), int(ends[s]))]].sum(axis=0)
+            else:
+                out[s:e] = np.add.reduceat(self.weights[flat[starts[s] : ends[e - 1]]], starts[s:e] - starts[s], axis=0)
+            s = e
         return out
 
 
@@ -142,11 +154,8 @@ def train(rows: list[tuple[str, str]]) -> Crf | None:
     for t in range(1, len(pack.active)):
         before = gold[pack.offset[t - 1] : pack.offset[t - 1] + pack.active[t]]
         np.add.at(true_moves, (before, gold[pack.offset[t] : pack.offset[t + 1]]), 1)
-    used = np.unique(table)
-    used = used[used < TABLE]
-    place = np.full(TABLE + 1, len(used), np.int64)
-    place[used] = np.arange(len(used))
-    flat = place[table].ravel()
+    used, flat = np.unique(table[0], return_inverse=True)
+    widths = np.diff(np.append(table[1], len(flat)))
     m, v = np.zeros((len(used), kinds)), np.zeros((len(used), kinds))
     mm, vm = np.zeros((kinds, kinds)), np.zeros((kinds, kinds))
     for step in range(1, ROUNDS + 1):
@@ -155,7 +164,7 @@ def train(rows: list[tuple[str, str]]) -> Crf | None:
         g = np.empty((len(used), kinds))
         for k in range(kinds):
             by_word = np.bincount(ids, off[:, k], len(vocabulary))
-            g[:, k] = np.bincount(flat, np.repeat(by_word, table.shape[1]), len(used) + 1)[:-1]
+            g[:, k] = np.bincount(flat, np.repeat(by_word, widths), len(used))
         g = g / n - DECAY * model.weights[used]
         gm = (true_moves - expected) / n - DECAY * model.moves
         for grad, first, second, put in ((g, m, v, "weights"), (gm, mm, vm, "moves")):

@@ -4,7 +4,7 @@ import textwrap
 
 import pytest
 
-from contactloom.llm import licenses, linedup
+from contactloom.llm import langid, licenses, linedup
 
 
 @pytest.mark.parametrize("width", [40, 79])
@@ -26,3 +26,16 @@ def test_passage_joined_to_other_text_goes(spark):
     got = {r["doc_id"]: r for r in linedup.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got[1]["text"] == docs[0][1] and got[3]["text"] == docs[2][1]
     assert got[2]["text"] == "six seven Ab cd,\n xa xb.*** eight\nend of two" and got[2]["deleted"] == "1"
+
+
+def test_long_words_count_to_their_end():
+    assert set(langid.features("abcdefghijklmnopqrstuvwxyz" * 4 + "qzq" + "z" * 30, [])) != set(langid.features("abcdefghijklmnopqrstuvwxyz" * 4 + "zzz" + "z" * 30, []))
+    n = 300
+    assert len(langid.features("".join(chr(0x4E00 + k) for k in range(n)), [])) == 1 + 7 + (n + 1) + n
+
+
+def test_text_of_one_long_run_is_told_by_all_of_it():
+    a, b = "abc" * 6, "xyz" * 6
+    model = langid.train([(" ".join([a[k:] for k in range(9)]), "aa"), (" ".join([b[k:] for k in range(9)]), "bb")] * 5)
+    langs, _ = langid._predict(model, ["abc" * 12 + "xyz" * 200 + "abc", "xyz" * 12 + "abc" * 200 + "xyz"])
+    assert langs == ["bb", "aa"]
