@@ -114,13 +114,24 @@ def differential_domains(spark, d):
 
 @register("domain_peak_filter", sql("""SELECT a.id, max(b.score) AS score FROM iv a JOIN (SELECT * FROM iv WHERE id % 3 = 0) b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" WHERE a.id % 10 = 1 GROUP BY 1 HAVING max(b.score) > 60""", "iv"))
 def domain_peak_filter(spark, d):
+    iv = T.intervals(spark, d)
+    return _peaked(iv.where("id % 10 = 1"), iv.where("id % 3 = 0"))
+
+
+def _peaked(domains, peaks):
     from ..operators.intervals import range_join
 
-    iv = T.intervals(spark, d)
-    x = range_join(iv.where("id % 10 = 1").select("chrom", "start", "end", "id"), iv.where("id % 3 = 0").select("chrom", "start", "end", "score"), 1000)
+    x = range_join(domains.select("chrom", "start", "end", "id"), peaks.select("chrom", "start", "end", "score"), 1000)
     return x.groupBy(F.col("l.id").alias("id")).agg(F.max("r.score").alias("score")).where("score > 60")
 
 
+@register("domain_peak_filter_all")
+def domain_peak_filter_all(spark, d):
+    """Every interval against every interval as a peak; the statement of ``domain_peak_filter`` covers a subset only."""
+    iv = T.intervals(spark, d)
+    return _peaked(iv, iv)
+
+
 _RATIO = "SELECT bin1, bin2, value, value / e AS ratio FROM intra JOIN (SELECT d, sum(value) / count(*) AS e FROM intra GROUP BY 1) USING (d) WHERE d BETWEEN 1 AND 30"
 _CAND = "SELECT * FROM rt WHERE value >= 10 AND ratio >= 1.2"
 
