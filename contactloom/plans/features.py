@@ -172,7 +172,10 @@ _LOOPS = """SELECT chrom AS chrom1, start AS start1, start + 1000 AS end1, chrom
 
 
 def _loops(spark, d):
-    iv = T.intervals(spark, d).where("id % 7 = 0")
+    return _loops_of(T.intervals(spark, d).where("id % 7 = 0"))
+
+
+def _loops_of(iv):
     return iv.select(F.col("chrom").alias("chrom1"), F.col("start").alias("start1"), (F.col("start") + 1000).alias("end1"), F.col("chrom").alias("chrom2"), (F.col("start") + 20_000).alias("start2"), (F.col("start") + 20_000 + 500 * (1 + F.col("id") % 7)).alias("end2"), "id")
 
 
@@ -187,6 +190,19 @@ def validated_loops(spark, d):
     return X.validate_loops(_loops(spark, d), T.intervals(spark, d).where("score > 70"), 1000).select("id")
 
 
+@register("merged_loops_all")
+def merged_loops_all(spark, d):
+    """A loop of every interval; the statement of ``merged_loops`` covers a seventh."""
+    return X.merge_loops(_loops_of(T.intervals(spark, d)).drop("id"), 2000)
+
+
+@register("validated_loops_all")
+def validated_loops_all(spark, d):
+    """A loop of every interval; the statement of ``validated_loops`` covers a seventh."""
+    iv = T.intervals(spark, d)
+    return X.validate_loops(_loops_of(iv), iv.where("score > 70"), 1000).select("id")
+
+
 @register("compartment_eigenvectors")
 def eigenvectors(spark, d):
     """No SQL: an eigen decomposition per chromosome, its sign set by the density of reference points."""
