@@ -43,3 +43,13 @@ def test_validated_loops_of_all_intervals(spark, intervals):
     want = {i for i, x in loops(intervals).items() if hit(*x[:3]) and hit(*x[3:])}
     assert {r["id"] for r in registry.queries()["validated_loops_all"](spark, SF).collect()} == want
     assert any(i % 7 for i in want)
+
+
+def test_correction_runs_to_its_end(spark):
+    from contactloom.operators import matrix as M
+
+    px = T.pixels(spark, SF)
+    bias = registry.queries()["ice_bias_converged"](spark, SF)
+    total = [r["total"] for r in M.marginals(M.apply_bias(px, bias)).where("total > 0").collect()]
+    mean = sum(total) / len(total)
+    assert max(abs(x / mean - 1) for x in total) < 1e-3  # biases come rounded to six digits
