@@ -8,9 +8,9 @@ languages of neighbouring words are learned with them. Forward-backward gives
 each word its language probabilities; a document gets the language with the
 largest mean, which is also its score.
 
-Training takes a sample of at most ``PER_LANG`` labelled documents of up to
-``MOST_CHARS`` characters per language, those with the smallest hash of their id, and
-labels each word with the language of its document. All documents are predicted,
+Training takes a sample of at most ``PER_LANG`` labelled documents per language, those
+of up to ``MOST_CHARS`` characters with the smallest hash of their id, then the shortest
+longer ones, and labels each word with the language of its document. All documents are predicted,
 over their whole texts; ids, sources and labels play no part in that.
 
 Defined cases: NULL texts and texts without a letter are ``und`` with score 0, and
@@ -180,8 +180,9 @@ def train(rows: list[tuple[str, str]]) -> Crf | None:
 
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
     """The bounded sample: per language the ``PER_LANG`` eligible documents with the smallest hash of their id."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("fold") != 1).where(F.length("text") <= MOST_CHARS)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("fold") != 1)
+    # documents of up to MOST_CHARS come first, all alike; longer ones fill up, the shortest first
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.greatest(F.length("text"), F.lit(MOST_CHARS)), F.xxhash64("doc_id"), "doc_id", "text"))
     return [(r["text"], r["lang"]) for r in known.withColumn("k", rank).where(F.col("k") <= PER_LANG).select("text", "lang").orderBy("lang", F.xxhash64("text"), "text").collect()]
 
 
@@ -250,11 +251,14 @@ def language(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents in which one language reaches the mean probability ``least``, with their own columns."""
+    """Documents in which one language reaches the mean probability ``least``, with their own columns; without a model, those with a letter."""
+    model = _model_of(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     payload = docs.select(row.alias("row"), F.col("text").alias("_text"))
     schema = f"row {row_type(docs)}, lang_pred string, score double"
-    return _predicted(docs, _model_of(docs), payload, schema).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    return _predicted(docs, model, payload, schema).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def row_type(docs: DataFrame) -> str:

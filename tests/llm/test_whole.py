@@ -39,3 +39,14 @@ def test_text_of_one_long_run_is_told_by_all_of_it():
     model = langid.train([(" ".join([a[k:] for k in range(9)]), "aa"), (" ".join([b[k:] for k in range(9)]), "bb")] * 5)
     langs, _ = langid._predict(model, ["abc" * 12 + "xyz" * 200 + "abc", "xyz" * 12 + "abc" * 200 + "xyz"])
     assert langs == ["bb", "aa"]
+
+
+def test_long_labelled_documents_are_learned_from(spark):
+    rows = [(k, ("abc bca cab " if k % 2 else "xyz yzx zxy ") * 600, "aa" if k % 2 else "bb") for k in range(20)]
+    got = langid.language(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert all(r["lang_pred"] == rows[r["doc_id"]][2] for r in got)
+
+
+def test_without_labels_texts_with_letters_stay(spark):
+    d = spark.createDataFrame([(1, None, None), (2, "12 _ 3", None), (3, "the cat", None)], "doc_id bigint, text string, lang string")
+    assert [r["doc_id"] for r in langid.keep_known(d).collect()] == [3]
