@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,12 +36,14 @@ def words(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one in the working directory where none is named, as in tests."""
+    """The shared folder the cluster names in spark.checkpoint.dir; only where it names none, as in tests, one in the working directory."""
     import os
 
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or f"file://{os.getcwd()}/spark-warehouse/checkpoints")
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -49,3 +52,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and reads it from there: work below it is never repeated."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same as a compressed table in that folder, for wide rows of which later steps read some columns."""
+    at = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

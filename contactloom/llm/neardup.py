@@ -1,20 +1,29 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. One pass turns each text into its set of word shingles, a key of the set, and
-   a signature of ``BANDS * ROWS`` minima. Texts with equal sets become one.
+   a signature of ``BANDS * ROWS`` minima. Texts with equal sets become one set,
+   which has a number of its own, whatever doc_ids it comes from.
 2. Bands deal the distinct sets into buckets. In each bucket the most central
    member (that with most bucket companions) is compared with the others; links
-   join into components. Only where a bucket still spans several components are
-   its other pairs compared, block by block, pairs of one component left out.
-   So large groups of near copies cost one comparison a member, and no pair of
-   different components goes untested.
-3. A candidate's signatures are compared batch by batch; it is dropped as soon as
+   join into components, so a large group of near copies costs one comparison a
+   member and not one a pair.
+3. Sets in buckets that still span several components meet their other candidates
+   by an exact filter instead of pair by pair: with the rarest shingles first, two
+   sets that reach the threshold share a shingle within a short prefix of each.
+   Sets that merely hold the same frequent passage have prefixes of their own and
+   never meet; length and place within the prefix exclude the rest. Sharers of a
+   frequent prefix shingle are met in blocks of bounded size, and only candidates
+   that pass leave a block.
+4. A candidate's signatures are compared batch by batch; it is dropped as soon as
    the posterior chance that its similarity reaches the threshold falls below
    ``MISS``. Survivors are verified on their full sets, so every link is exact.
 
 Defined cases: NULL, empty and word-free texts have an empty set and no link; a
-text with fewer words than a shingle is one shingle; rows that share a doc_id are
-one document; an empty table gives no rows; further columns are ignored.
+text with fewer words than a shingle is one shingle; there is one row for each row
+of the input, and repeated rows are judged alike; rows of one doc_id with different
+texts are different sets, each named by its own class; a class is named by its
+smallest doc_id that is not NULL, so rows without a doc_id are kept only if their
+class has none; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +34,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 BANDS, ROWS, BATCH, MISS = 24, 4, 16, 1e-6
 HASHES = BANDS * ROWS
-BLOCK = 64
+#: Members of a block of sets that share a prefix shingle: those of the shorter prefix, and of the longer.
+INDEXED, PROBING = 256, 4096
 _R = np.random.default_rng(20240229)
 _BYTE = _R.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _R.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,34 +92,39 @@ def signature(s: np.ndarray) -> np.ndarray:
     out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(s), 8192):
         out = np.minimum(out, (s[None, k : k + 8192] * _MUL[:, None] + _ADD[:, None]).min(axis=1))
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return out
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, t, n, k1, k2 (key of the set), sig (16 bits of each minimum) and bands (bucket of each band)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 n, k1, k2, sigs, bands = [], [], [], [], []
-                for t in batch.column(1):
+                for t in batch.column(2):
                     s = shingle_set(t.as_py(), size)
                     n.append(len(s))
                     k1.append(int(_mix(s, 3).sum(dtype=np.uint64).astype(np.int64)))
                     k2.append(int(_mix(s, 4).sum(dtype=np.uint64).astype(np.int64)))
-                    sig = signature(s) if len(s) else np.empty(0, np.uint32)
-                    sigs.append(sig.tobytes())
-                    b = sig.reshape(-1, ROWS).astype(np.uint64) if len(s) else np.empty((0, ROWS), np.uint64)
-                    h = np.zeros(len(b), np.uint64)
+                    if not len(s):
+                        sigs.append(b"")
+                        bands.append(np.empty(0, np.int64))
+                        continue
+                    sig = signature(s) >> np.uint64(32)
+                    sigs.append((sig & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
+                    b, h = sig.reshape(-1, ROWS), np.arange(BANDS, dtype=np.uint64)
                     for r in range(ROWS):
                         h = _mix(h * _KEYS[5] + b[:, r], 1)
                     bands.append(h.view(np.int64))
                 flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
                 offs = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(offs, flat)],
-                    ["doc_id", "n", "k1", "k2", "sig", "bands"],
+                    [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(offs, flat)],
+                    ["doc_id", "t", "n", "k1", "k2", "sig", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sig binary, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, t bigint, n bigint, k1 bigint, k2 bigint, sig binary, bands array<bigint>")
 
 
 def least_matches(threshold: float, miss: float = MISS) -> list[int]:
@@ -141,11 +157,11 @@ def _survivors(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
 
 
 def _sigs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
 def _prune(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose signatures may reach the threshold."""
+    """Pairs (a, b) whose signatures may reach the threshold."""
     least = least_matches(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,34 +173,39 @@ def _prune(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 x = x.take(pa.array(_survivors(_sigs(x.column(3)), _sigs(x.column(5)), least)))
             yield x.select(["a", "b"])
 
-    r = reps.select("rep", "n", "sig")
+    r = reps.select("sid", "n", "sig")
     both = pairs.join(r.toDF("a", "na", "sa"), "a").join(r.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "sa", "nb", "sb")
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets meet ``100 * intersection >= percent * union``."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _texts(docs: DataFrame, names: DataFrame, *more: str) -> DataFrame:
+    """(..., text) of the sets in ``names``, told by the doc_id and text key of a row that has them."""
+    d = docs.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "text")
+    return names.join(d, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select(*more, "text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                found = [shingle_set(t.as_py(), size).tobytes() for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "s"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            good = []
-            for k, (p, q) in enumerate(zip(x.column(2), x.column(3), strict=True)):
-                s, t = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = int(np.isin(s, t, assume_unique=True, kind="sort").sum())
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    good.append(k)
-            yield x.take(pa.array(good, pa.int64())).select(["a", "b"])
+def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets meet ``100 * intersection >= percent * union``; ``b`` may be frequent."""
 
-    s = cut(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(sets, "rep bigint, s binary"))
-    full = pairs.join(s.toDF("a", "s"), "a").join(s.toDF("b", "t"), "b").select("a", "b", "s", "t")
-    return full.mapInArrow(run, "a bigint, b bigint").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, t = None, np.empty(0, np.uint64)
+        with np.errstate(over="ignore"):
+            for x in batches:
+                good = []
+                for k, (b, p, q) in enumerate(zip(x.column(1).to_pylist(), x.column(2), x.column(3), strict=True)):
+                    if b != last:  # rows come sorted by b for the most part
+                        last, t = b, shingle_set(q.as_py(), size)
+                    s = shingle_set(p.as_py(), size)
+                    at = np.searchsorted(t, s)
+                    both = int((t[np.minimum(at, len(t) - 1)] == s).sum())
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        good.append(k)
+                yield x.take(pa.array(good, pa.int64())).select(["a", "b"])
+
+    name = reps.select("sid", "doc_id", "t")
+    left = _texts(docs, pairs.join(name.withColumnRenamed("sid", "a"), "a"), "a", "b").withColumnRenamed("text", "p")
+    right = _texts(docs, pairs.select("b").distinct().join(name.withColumnRenamed("sid", "b"), "b"), "b").withColumnRenamed("text", "q")
+    return left.join(right.hint("merge"), "b").select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,63 +231,113 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _across(members: DataFrame, reps: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs of buckets that span components, different components only, whose signatures may reach the threshold."""
-    least = least_matches(percent / 100)
-    m = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    open_ = m.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    m = m.drop("c").join(open_.select("band", "h", "c"), ["band", "h"]).withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int"))
-    m = m.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).join(reps.select("rep", "n", "sig"), "rep")
-    # each pair of blocks (i, j), i <= j, meets at one key; a block goes to nb keys
-    sent = m.select("band", "h", "blk", "rep", "comp", "n", "sig", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    sent = sent.select("band", "h", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "comp", "n", "sig")
+def _prefixes(docs: DataFrame, named: DataFrame, size: int, percent: int) -> DataFrame:
+    """(w, sid, comp, n, pos, indexed): the shared shingles within the prefix of each set, the rarest first."""
 
-    def run(x: pa.Table) -> pa.Table:
-        rep, comp_, n, blk = (x.column(k).to_numpy() for k in ("rep", "comp", "n", "blk"))
-        sig = _sigs(x.column("sig"))
-        if x.column("i")[0].as_py() == x.column("j")[0].as_py():
-            p, q = np.triu_indices(len(rep), 1)
-        else:
-            i = x.column("i")[0].as_py()
-            p, q = (z.ravel() for z in np.meshgrid(np.flatnonzero(blk == i), np.flatnonzero(blk != i), indexing="ij"))
-        ok = (comp_[p] != comp_[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q])) & (rep[p] != rep[q])
-        p, q = p[ok], q[ok]
-        ok = _survivors(sig[p], sig[q], least) if len(p) else np.empty(0, np.int64)
-        a, b = rep[p[ok]], rep[q[ok]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return sent.groupBy("band", "h", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for b in batches:
+                found = [shingle_set(t.as_py(), size).view(np.int64) for t in b.column(2)]
+                offs = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                flat = np.concatenate(found) if found else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offs, flat)], ["sid", "comp", "s"])
 
+    held = stored(_texts(docs, named, "sid", "comp").dropDuplicates(["sid"]).mapInArrow(sets, "sid bigint, comp bigint, s array<bigint>"))
+    rows = held.select("sid", "comp", F.size("s").cast("bigint").alias("n"), F.explode("s").alias("w"))
+    often = rows.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1")  # a shingle of one set meets nothing
+    own = W.partitionBy("sid")
+    rows = rows.join(often, "w").withColumn("pos", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("c", "w")) - 1)
+    n = F.col("n")
+    long, short = n - F.ceil(n * percent / 100) + 1, n - F.ceil(n * 2 * percent / (100 + percent)) + 1
+    return rows.where(F.col("pos") < long).select("w", "sid", "comp", "n", "pos", (F.col("pos") < short).alias("indexed"))
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document."""
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    base = cut(_sketches(docs, size))
-    reps = cut(base.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    members = reps.select("rep", F.posexplode("bands").alias("band", "h"))
-    sizes = members.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = cut(members.join(sizes, ["band", "h"]))
-    central = members.join(members.groupBy("rep").agg(F.sum("c").alias("w")), "rep")
-    pivots = central.groupBy("band", "h").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"))).alias("top")).select("band", "h", (-F.col("top.r")).alias("p"))
-    stars = members.join(pivots, ["band", "h"]).where("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-    links = cut(_verify(cut(_prune(stars, reps, percent)), docs, reps, size, percent))
+
+def _meeting(percent: int):
+    """Pairs of a block's sets, of different components, whose lengths and prefix places allow the threshold."""
+
+    def run(x: pa.Table) -> pa.Table:
+        sid, comp, n, pos, indexed = (x.column(k).to_numpy() for k in ("sid", "comp", "n", "pos", "indexed"))
+        y = np.flatnonzero(indexed)
+        y = y[np.argsort(n[y], kind="stable")]
+        probe = np.flatnonzero(~indexed)
+        out: list[np.ndarray] = []
+        # a partner has at most as many shingles, and what is left from the shared one on must still suffice
+        most = np.minimum(n[probe], ((100 + percent) * (n[probe] - pos[probe]) - percent * n[probe]) // percent)
+        lo = np.searchsorted(n[y], -(-percent * n[probe] // 100))
+        many = np.maximum(np.searchsorted(n[y], most, side="right") - lo, 0)
+        ends = np.cumsum(many)
+        k = 0
+        while k < len(probe):
+            e = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + (1 << 20), side="right")))
+            m = many[k:e]
+            p = np.repeat(probe[k:e], m)
+            q = y[np.repeat(lo[k:e] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))]
+            need = -(-percent * (n[p] + n[q]) // (100 + percent))
+            ok = (comp[p] != comp[q]) & (n[q] - pos[q] >= need)
+            out.append(np.stack([np.minimum(sid[p[ok]], sid[q[ok]]), np.maximum(sid[p[ok]], sid[q[ok]])], axis=1))
+            k = e
+        found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return run
+
+
+def _across(members: DataFrame, docs: DataFrame, reps: DataFrame, comp: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidates (a, b) of different components among the sets whose buckets span several."""
+    m = members.join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
+    open_ = m.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
+    named = m.join(open_, "h").select("sid", "comp").distinct().join(reps.select("sid", "doc_id", "t"), "sid")
+    rows = stored(_prefixes(docs, named, size, percent))
+    sizes = rows.groupBy("w").agg(F.count(F.lit(1)).alias("np"), F.count_if("indexed").alias("ni"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    sizes = sizes.where("ni > 0 AND np > 1 AND x <> y").select(
+        "w", F.ceil(F.col("ni") / INDEXED).cast("int").alias("bi"), F.ceil(F.col("np") / PROBING).cast("int").alias("bp")
+    )
+    rows = rows.join(sizes, "w")
+    at = lambda b: F.pmod(F.xxhash64("sid", "w"), F.col(b)).cast("int")
+    every = lambda b: F.explode(F.sequence(F.lit(0), F.col(b) - 1))
+    cols = ["sid", "comp", "n", "pos"]
+    index = rows.where("indexed").select("w", at("bi").alias("i"), every("bp").alias("p"), *cols, F.lit(True).alias("indexed"))
+    probe = rows.select("w", at("bp").alias("p"), every("bi").alias("i"), *cols, F.lit(False).alias("indexed"))
+    blocks = index.unionByName(probe)
+    return blocks.groupBy("w", "i", "p").applyInArrow(_meeting(percent), "a bigint, b bigint").distinct()
+
+
+def classes(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, t (key of the text), n_shingles, component_id, kept: a row for each row of the input."""
+    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
+    base = stored(_sketches(docs, size).withColumn("r", F.monotonically_increasing_id()))
+    sets = stored(base.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("r").alias("sid"), F.min("doc_id").alias("least")))
+    reps = stored(base.join(sets.select(F.col("sid").alias("r")), "r").select(F.col("r").alias("sid"), "doc_id", "t", "n", "sig", "bands"))
+    members = reps.select("sid", F.explode("bands").alias("h"))
+    shared = members.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = stored(members.join(shared, "h"))
+    central = members.join(members.groupBy("sid").agg(F.sum("c").alias("w")), "sid")
+    pivots = central.groupBy("h").agg(F.max(F.struct("w", (-F.col("sid")).alias("s"))).alias("top")).select("h", (-F.col("top.s")).alias("b"))
+    stars = members.join(pivots, "h").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+    links = stored(_verify(stored(_prune(stars, reps, percent)), docs, reps, size, percent))
     comp = cut(components(links))
-    rest = cut(_across(members, reps, comp, percent))
+    rest = stored(_prune(_across(members, docs, reps, comp, size, percent), reps, percent))
     if rest.limit(1).count():
-        more = _verify(rest, docs, reps, size, percent)
-        comp = cut(components(links.union(more)))
-    named = reps.select("n", "k1", "k2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = base.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc_id").alias("component_id"),
-        (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"),
-    )
+        comp = cut(components(links.union(_verify(rest, docs, reps, size, percent))))
+    named = sets.join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("n", "k1", "k2", "component_id")
+    out = base.select("doc_id", "t", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for each row of the input."""
+    return classes(docs, size, percent, doc_id, text).drop("t")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The first document of each group, with its own columns; rows without doc_id stay."""
-    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One document of each group, that with the smallest doc_id, with its own columns; of rows that repeat a doc_id and text one stays."""
+    judged = classes(docs, size, percent).groupBy("doc_id", "t").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("many"))
+    judged = judged.where("NOT kept OR many > 1").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "kept")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64("text").alias("_text"))
+    at = F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t"))
+    alone = row.join(judged, at, "left_anti").select("_row")
+    repeated = row.join(judged.where("kept"), at).groupBy("_doc", "_text").agg(F.first("_row").alias("_row")).select("_row")
+    return alone.union(repeated).select("_row.*")
