@@ -7,8 +7,6 @@ tokenizers library has it; further columns of the input are ignored.
 
 from __future__ import annotations
 
-import functools
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -19,7 +17,6 @@ from pyspark.sql import functions as F
 from .tokens import Encoder, chunks, load
 
 
-@functools.cache
 def _digester(path: str) -> Encoder:
     """Records of (ids in decimal, joined by commas; their number; their bytes)."""
     bpe = load(path)
@@ -31,7 +28,6 @@ def encode_digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     """doc_id, n_tokens and the digests of the ids and of the text decoded from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # records hold no cycles
         enc = _digester(tokenizer)
         for batch in batches:
             ids, texts = batch.column(0), ["" if t is None else t for t in batch.column(1).to_pylist()]
@@ -50,7 +46,6 @@ def encode_digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-@functools.cache
 def _idder(path: str) -> Encoder:
     return Encoder(load(path), lambda ids: ids)
 

@@ -12,8 +12,7 @@ packed one by one; an empty table gives no pieces; further columns are ignored.
 
 from __future__ import annotations
 
-import functools
-import gc
+import itertools
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,39 +25,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
-from .tokens import Encoder, chunks, load
+from .tokens import ranked
 
 END_ID, CAPACITY = 2, 1024
 
 
-@functools.cache
-def _encoder(path: str) -> Encoder:
-    """Ids of each piece of text as little-endian 32-bit bytes, made by the tokenizers library."""
-    bpe = load(path)
-    return Encoder(bpe, lambda ids: array("I", ids).tobytes(), bpe.merge_many)
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents of up to ``capacity`` ids whole, longer ones cut from the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # records hold no cycles
-        enc = _encoder(tokenizer)
-        end = array("I", [END_ID]).tobytes()
+        encode = ranked(tokenizer).encode_to_numpy
+        end = np.array([END_ID], "<u4")
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), ["" if t is None else t for t in batch.column(1).to_pylist()]
-            rows: list[tuple] = []
-            for s, e in chunks(texts):
-                for key, records in zip(keys[s:e], enc.batch(texts[s:e]), strict=True):
-                    ids = memoryview(b"".join([*records, end]))
-                    n = len(ids) // 4
-                    first = n if n <= capacity else n % capacity or capacity
-                    bounds = [0, *range(first, n + 1, capacity)]
-                    rows += [(key, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            doc, piece, start, length, crc = (array("q") for _ in range(5))
+            null: list[bool] = []
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids = np.concatenate([encode(text.as_py() or "", allowed_special="all").astype("<u4", copy=False), end])
+                n, key = len(ids), key.as_py()
+                first = n if n <= capacity else n % capacity or capacity
+                bounds = [0, *range(first, n + 1, capacity)]
+                for k, (a, b) in enumerate(itertools.pairwise(bounds)):
+                    doc.append(0 if key is None else key)
+                    null.append(key is None)
+                    piece.append(k)
+                    start.append(a)
+                    length.append(b - a)
+                    crc.append(zlib.crc32(ids[a:b]))
+            columns = [pa.array(np.array(x, np.int64)) for x in (piece, start, length, crc)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(doc, np.int64), mask=np.array(null, bool)), columns[0].cast(pa.int32()), *columns[1:]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
     return rows.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")

@@ -183,6 +183,18 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+@functools.cache
+def ranked(path: str):
+    """The same vocabulary in tiktoken, which merges by rank: equal to the merges where each makes a larger id than the one before it."""
+    import tiktoken
+
+    bpe = Bpe(path)  # not kept
+    made = [i for _, i in sorted(bpe.rank.values())]
+    if made != sorted(set(made)):
+        raise ValueError("the vocabulary's ids do not follow its merges")
+    return tiktoken.Encoding("own", pat_str=PATTERN.pattern, mergeable_ranks=bpe.id_of, special_tokens=bpe.special)
+
+
 class Encoder:
     """Turns texts into sequences of per-word records, each made once by ``record`` and cached."""
 
