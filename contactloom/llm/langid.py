@@ -10,8 +10,10 @@ largest mean, which is also its score.
 
 Training takes a sample of at most ``PER_LANG`` labelled documents per language, those
 of up to ``MOST_CHARS`` characters with the smallest hash of their id, then the shortest
-longer ones, and labels each word with the language of its document. All documents are predicted,
-over their whole texts; ids, sources and labels play no part in that.
+longer ones, and labels each word with the language of its document. So that the moves learn
+to switch, each document is also spliced with one of another language, a few words from either
+in turn, and both kinds are trained on. All documents are predicted, over their whole texts;
+ids, sources and labels play no part in that.
 
 Defined cases: NULL texts and texts without a letter are ``und`` with score 0, and
 so is everything when there is nothing to learn from; repeated rows are predicted
@@ -28,17 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tokens import chunks
-
 LETTERS = re.compile(r"[^\W\d_]+")
 TABLE = 1 << 17
 PER_LANG, MOST_CHARS, LEXICON = 100, 6000, 300
 ROUNDS, RATE, DECAY = 25, 0.15, 1e-4
-CACHE_WORDS = 200_000
+#: Words of a spliced text, and of its stretches of one language by turns.
+SPLICED, STRETCHES = 60, (9, 4, 12, 6, 3, 8)
+CACHE_WORDS, CHUNK = 200_000, 500_000
 UNKNOWN = "und"
 
 
@@ -61,8 +64,6 @@ class Crf:
         self.langs, self.lexicons = langs, lexicons
         self.weights = np.zeros((TABLE, len(langs)), np.float32)
         self.moves = np.zeros((len(langs), len(langs)))
-        #: what a worker has found about words: their numbers and emissions
-        self.state: tuple[dict[str, int], list[np.ndarray]] | None = None
 
     def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The features of all words one after another, and where each word's begin."""
@@ -129,6 +130,35 @@ def forward_backward(pack: Packed, e: np.ndarray, moves: np.ndarray, count_moves
     return gamma / gamma.sum(axis=1, keepdims=True), expected
 
 
+def splice(one: list[str], other: list[str], most: int = SPLICED) -> tuple[list[str], list[int]]:
+    """Words of two texts, a stretch of each in turn, and which of the two (0 or 1) each is from."""
+    words: list[str] = []
+    sides: list[int] = []
+    at, k = [0, 0], 0
+    while len(words) < most:
+        side = k % 2
+        part = (one, other)[side][at[side] : at[side] + STRETCHES[k % len(STRETCHES)]]
+        if not part:
+            break
+        at[side] += len(part)
+        words += part
+        sides += [side] * len(part)
+        k += 1
+    return words, sides
+
+
+def _spliced(docs: list[tuple[list[str], str]]) -> list[tuple[list[str], list[str]]]:
+    """Each document with the next one of another language, words and the language of each."""
+    out = []
+    for k, (words, lang) in enumerate(docs):
+        others = ((k + 1 + j * 7) % len(docs) for j in range(len(docs)))
+        other = next((o for o in others if docs[o][1] != lang), None)
+        if other is not None:
+            mixed, sides = splice(words, docs[other][0])
+            out.append((mixed, [(lang, docs[other][1])[x] for x in sides]))
+    return out
+
+
 def train(rows: list[tuple[str, str]]) -> Crf | None:
     """A model from (text, language) rows, by gradient ascent with Adam's step sizes on the penalised likelihood."""
     docs = [(words_of(t), lang) for t, lang in rows]
@@ -143,9 +173,11 @@ def train(rows: list[tuple[str, str]]) -> Crf | None:
     vocabulary = sorted(set().union(*counts.values()))
     number = {w: k for k, w in enumerate(vocabulary)}
     table = model.table(vocabulary)
-    ids = np.concatenate([[number[x] for x in w] for w, _ in docs])
-    lengths = np.array([len(w) for w, _ in docs])
-    gold = np.repeat([langs.index(lang) for _, lang in docs], lengths)
+    texts = [(w, [lang] * len(w)) for w, lang in docs] + _spliced(docs)
+    ids = np.concatenate([[number[x] for x in w] for w, _ in texts])
+    lengths = np.array([len(w) for w, _ in texts])
+    of = {lang: k for k, lang in enumerate(langs)}
+    gold = np.array([of[x] for _, labels in texts for x in labels])
     pack = Packed(lengths)
     ids, gold = ids[pack.source], gold[pack.source]
     n, kinds = len(ids), len(langs)
@@ -190,32 +222,60 @@ def _fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def _predict(model: Crf, texts: list[str | None]) -> tuple[list[str], list[float]]:
+class Words:
+    """What a task has found about words: their numbers and emissions, ``CACHE_WORDS`` at most or those of one batch."""
+
+    def __init__(self, model: Crf):
+        self.model, self.known, self.rows = model, {}, np.empty((4096, len(model.langs)))
+
+    def numbers(self, found: list[list[str]]) -> np.ndarray:
+        known = self.known
+        new = list(dict.fromkeys(w for ws in found for w in set(ws).difference(known)))
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = list(dict.fromkeys(w for ws in found for w in ws))
+        start, end = len(known), len(known) + len(new)
+        if end > len(self.rows):
+            grown = np.empty((max(end, 2 * len(self.rows)), self.rows.shape[1]))
+            grown[:start] = self.rows[:start]
+            self.rows = grown
+        known.update(zip(new, range(start, end), strict=True))
+        self.rows[start:end] = self.model.emissions(self.model.table(new))
+        return np.fromiter((k for ws in found for k in map(known.__getitem__, ws)), np.int64, sum(map(len, found)))
+
+
+def _word_probabilities(model: Crf, cache: Words, found: list[list[str]]) -> tuple[np.ndarray, Packed]:
+    """Rows of probabilities in packed order for texts that all have words."""
+    ids = cache.numbers(found)
+    pack = Packed(np.array([len(w) for w in found]))
+    gamma, _ = forward_backward(pack, cache.rows[ids[pack.source]], model.moves)
+    return gamma, pack
+
+
+def word_languages(model: Crf, text: str) -> list[tuple[str, str]]:
+    """Each word of a text with its most probable language."""
+    words = words_of(text)
+    if not words:
+        return []
+    gamma, pack = _word_probabilities(model, Words(model), [words])
+    best = np.empty(len(words), np.int64)
+    best[pack.source] = gamma.argmax(axis=1)
+    return [(w, model.langs[k]) for w, k in zip(words, best, strict=True)]
+
+
+def _predict(model: Crf, texts: list[str | None], cache: Words | None = None) -> tuple[list[str], list[float]]:
     """Language and score of each text."""
-    if model.state is None:
-        model.state = {}, [np.empty((0, len(model.langs)))]
-    known, rows = model.state
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     found = [words_of(t) for t in texts]
-    lengths = np.array([len(w) for w in found])
-    if not lengths.sum():
+    has = [k for k, w in enumerate(found) if w]
+    if not has:
         return langs, scores
-    new = list(dict.fromkeys(w for ws in found for w in set(ws).difference(known)))
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        rows[:] = [np.empty((0, len(model.langs)))]
-        new = list(dict.fromkeys(w for ws in found for w in ws))
-    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-    rows.append(model.emissions(model.table(new)))
-    rows[:] = [np.concatenate(rows)]
-    ids = np.fromiter((k for ws in found for k in map(known.__getitem__, ws)), np.int64, int(lengths.sum()))
-    has = np.flatnonzero(lengths)
-    pack = Packed(lengths[has])
-    gamma, _ = forward_backward(pack, rows[0][ids[pack.source]], model.moves)
-    owner = np.repeat(np.arange(len(has)), lengths[has])[pack.source]
+    found = [found[k] for k in has]
+    gamma, pack = _word_probabilities(model, cache or Words(model), found)
+    lengths = np.array([len(w) for w in found])
+    owner = np.repeat(np.arange(len(has)), lengths)[pack.source]
     sums = np.stack([np.bincount(owner, gamma[:, k], len(has)) for k in range(len(model.langs))], axis=1)
-    mean = sums / lengths[has][:, None]
-    for d, row in zip(has.tolist(), mean, strict=True):
+    for d, row in zip(has, sums / lengths[:, None], strict=True):
         k = int(row.argmax())
         langs[d], scores[d] = model.langs[k], float(min(1.0, row[k]))
     return langs, scores
@@ -225,21 +285,28 @@ def _model_of(docs: DataFrame) -> Crf | None:
     return train(training_rows(docs.select("doc_id", "text", "lang", _fold(F.col("doc_id")).alias("fold"))))
 
 
-def _predicted(docs: DataFrame, model: Crf | None, payload: DataFrame, schema: str) -> DataFrame:
-    """Appends lang_pred and score to ``payload``, whose last column is the text."""
+def _predicted(docs: DataFrame, model: Crf | None, payload: DataFrame, schema: str, text) -> DataFrame:
+    """Appends lang_pred and score to ``payload``; ``text`` takes the texts of a batch."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: the weight table and lexicons
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        cache = None if m is None else Words(m)
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            langs, scores = [], []
-            for s, e in chunks([t or "" for t in texts]):
-                x, y = _predict(m, texts[s:e]) if m is not None else ([UNKNOWN] * (e - s), [0.0] * (e - s))
+            column = text(b)
+            langs, scores, k = [], [], 0
+            sizes = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
+            while k < len(sizes):  # about ``CHUNK`` characters at a time; a longer text alone
+                e, held = k + 1, sizes[k]
+                while e < len(sizes) and held + sizes[e] <= CHUNK:
+                    held += sizes[e]
+                    e += 1
+                texts = column.slice(k, e - k).to_pylist()
+                x, y = ([UNKNOWN] * (e - k), [0.0] * (e - k)) if m is None else _predict(m, texts, cache)
                 langs += x
                 scores += y
-            columns = [b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+                k = e
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     return payload.mapInArrow(run, schema)
 
@@ -247,7 +314,8 @@ def _predicted(docs: DataFrame, model: Crf | None, payload: DataFrame, schema: s
 def language(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per document."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(_fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "text")
-    return _predicted(docs, _model_of(docs), rows, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    found = _predicted(docs, _model_of(docs), rows, "doc_id bigint, held_out boolean, text string, lang_pred string, score double", lambda b: b.column(2))
+    return found.drop("text")
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -255,10 +323,10 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     model = _model_of(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    payload = docs.select(row.alias("row"), F.col("text").alias("_text"))
+    payload = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # packed, so that names cannot clash
     schema = f"row {row_type(docs)}, lang_pred string, score double"
-    return _predicted(docs, model, payload, schema).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    found = _predicted(docs, model, payload, schema, lambda b: b.column(0).field("text"))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def row_type(docs: DataFrame) -> str:

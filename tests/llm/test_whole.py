@@ -1,7 +1,11 @@
 """Operators on what an earlier version left out."""
 
+import itertools
 import textwrap
+import zlib
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from contactloom.llm import langid, licenses, linedup
@@ -50,3 +54,50 @@ def test_long_labelled_documents_are_learned_from(spark):
 def test_without_labels_texts_with_letters_stay(spark):
     d = spark.createDataFrame([(1, None, None), (2, "12 _ 3", None), (3, "the cat", None)], "doc_id bigint, text string, lang string")
     assert [r["doc_id"] for r in langid.keep_known(d).collect()] == [3]
+
+
+def test_forward_backward_equals_enumeration():
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 4, 3])
+    e, moves = rng.normal(size=(8, 3)), rng.normal(size=(3, 3))
+    pack = langid.Packed(lengths)
+    gamma, expected = langid.forward_backward(pack, e[pack.source], moves, True)
+    got = np.empty_like(gamma)
+    got[pack.source] = gamma
+    pairs, start = np.zeros((3, 3)), 0
+    for n in lengths:
+        want, total, own = np.zeros((n, 3)), 0.0, np.zeros((3, 3))
+        for path in itertools.product(range(3), repeat=int(n)):
+            p = np.exp(sum(e[start + t, k] for t, k in enumerate(path)) + sum(moves[a, b] for a, b in itertools.pairwise(path)))
+            total += p
+            for t, k in enumerate(path):
+                want[t, k] += p
+            for a, b in itertools.pairwise(path):
+                own[a, b] += p
+        assert np.allclose(got[start : start + n], want / total)
+        pairs += own / total
+        start += n
+    assert np.allclose(expected, pairs)
+
+
+def test_switches_are_learned_and_found_in_spliced_held_out_texts():
+    t = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pydict()
+    rows = [(d, x, y) for d, x, y in zip(t["doc_id"], t["text"], t["lang"], strict=True) if x and y and len(x) < 4000]
+    seen = [(x, y) for d, x, y in rows if zlib.crc32(str(d).encode()) % 3 != 1]
+    held = [(langid.words_of(x), y) for d, x, y in rows if zlib.crc32(str(d).encode()) % 3 == 1]
+    held = [(w, y) for w, y in held if len(w) > 60]
+    model = langid.train(seen[:200])
+    moves = np.exp(model.moves)
+    stay = np.diag(moves) / moves.sum(axis=1)
+    assert (stay > 0.5).all() and (stay < 0.9999).all()
+    right = plain = n = 0
+    lone = langid.Crf(model.langs, model.lexicons)
+    lone.weights = model.weights  # the same without transitions
+    for (a, x), (b, y) in zip(held[:60], held[1:61], strict=True):
+        words, sides = langid.splice(a, b)
+        gold = [(x, y)[s] for s in sides]
+        right += sum(g == p for g, (_, p) in zip(gold, langid.word_languages(model, " ".join(words)), strict=True))
+        plain += sum(g == p for g, (_, p) in zip(gold, langid.word_languages(lone, " ".join(words)), strict=True))
+        n += len(gold)
+    print("word accuracy", right / n, "without transitions", plain / n)
+    assert right / n > 0.85 and right > plain
