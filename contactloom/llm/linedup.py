@@ -1,30 +1,35 @@
-"""Line dedup over the suffix array of line ids, by distributed prefix doubling.
+"""Line dedup over the suffix intervals of line-id sequences, by distributed prefix doubling.
 
 Lines are cut into units behind punctuation, so that a passage joined to other
 text within its first and last line still shares the units between. A "line" below
-is such a unit; its id is 128 hash bits of the unit without spaces around it. A run
-that begins or ends within a unit loses that unit. Only lines that occur twice or
-more can lie in a repeated run, so the sequences are the stretches of such lines.
-Prefix doubling ranks every position by its first 1, 2, 4, ... lines: the rank of
-a position in round k + 1 is its rank in round k plus the number of positions of
-equal rank whose rank 2**k lines further is smaller. Those are the places of the
-suffix array; positions of equal rank form its intervals of common prefixes.
+is such a unit; its id is a 64-bit hash of the unit without spaces around it. A run
+that begins or ends within a unit loses that unit. Only lines that occur at two
+places or more can lie in a repeated run, so the sequences are the stretches of such lines.
+Prefix doubling names every position by its first 1, 2, 4, ... lines: the name for
+twice as many lines is made of two names for as many as before. Positions of equal
+name are the intervals of the suffix array with that many lines in common. Their
+order among each other decides nothing here, so names are 128 hash bits, which need
+no round of their own over all positions, where ranks would. (A false copy would need
+a run of equal lines around two different ones with equal ids, or 128 equal bits.)
 
 A run counts if its lines have ``min_words`` words or more, so for each position
 the shortest such run that starts there decides, and the shortest that ends
 there: the interval of all positions that share a run of n lines is given by the
-pair (rank of the first 2**k lines, rank of the last 2**k), 2**k <= n. All copies
+pair (name of the first 2**k lines, name of the last 2**k), 2**k <= n. All copies
 in an interval but the first in (doc_id, text, line) order are deleted. The union
 of these shortest runs is the union of all maximal repeated runs: a line of a
 maximal run lies in the shortest one from it, or in the shortest one that ends
-with the run. Doubling stops at the longest shortest run, ``min_words`` lines at most.
+with the run. Doubling stops at ``min_words`` lines, which any such run has at most.
 
-Everything runs on joins, windows and aggregates. Windows are over one document,
-or over a slice of the ranks that follow a rank, never over a frequent line.
+Documents with the text of an earlier one are later copies as a whole; their lines
+take no part in the rest. Everything runs on joins, windows and aggregates. Windows
+are over one document, never over a frequent line; aggregates over lines and runs
+are combined before they are shuffled.
 
-Defined cases: NULL and empty texts have no lines and stay; lines without a word
-are no part of runs and stay; rows that repeat a doc_id and text are one document;
-an empty table gives no rows; further columns are kept, whatever their names.
+Defined cases: NULL texts have no lines and stay, an empty text has one without a word;
+lines without a word are no part of runs and stay; rows that repeat a doc_id and text
+are one document; documents without a doc_id come first in order and stay; an empty
+table gives no rows; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, let
+from .common import WORD, let, stored
 
 MIN_WORDS = 50
 #: Between two units of a line: behind punctuation, where white space and more text, or after CJK marks more text, follows. So no unit is without a word, but for lines without one.
@@ -42,6 +47,10 @@ UNIT = r"(?<=[.,;:!?…])(?=[ \t]+\S)|(?<=[。！？；，、])(?=[ \t]*\S)"
 STEP = 1 << 31
 
 
+#: The same cut over a whole text, line breaks included.
+_CUT = UNIT + "|\n"
+
+
 def _units(text: Column) -> Column:
     """For each physical line the array of its units; they joined give the line."""
     return F.transform(F.split(text, "\n", -1), lambda x: F.split(x, UNIT, -1))
@@ -55,44 +64,47 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def _word_count(x: Column) -> Column:
+    """Words of a unit that has some, trimmed: a count of single spaces where no other white space is in it."""
+    odd = F.contains(x, F.lit("  "))
+    for c in "\t\r\x0b\x0c":
+        odd = odd | F.contains(x, F.lit(c))
+    return F.when(odd, F.regexp_count(x, F.lit(WORD))).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """d, t (text key), j (number among the lines with a word), i (unit number), h1, h2, words."""
-    lines = F.flatten(F.transform(_units(F.col("text")), lambda u, i: F.transform(u, lambda x, k: F.struct((i.cast("bigint") * STEP + k).alias("i"), F.trim(x).alias("x")))))
-    worded = F.filter(lines, lambda s: s["x"].rlike(WORD))
-    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), _text_key(F.col("text")).alias("t"), F.posexplode(worded).alias("j", "l"))
-    x = F.col("l.x")
-    return rows.select(
-        "d", "t", "j", F.col("l.i").alias("i"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("line"), F.length(x), x).alias("h2"),
-        F.regexp_count(x, F.lit(WORD)).alias("words"),
-    )
+    """d, t (text key), j (number among the lines with a word), h (id), words."""
+    worded = F.filter(F.split(F.col("text"), _CUT, -1), lambda x: x.rlike(WORD))
+    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), _text_key(F.col("text")).alias("t"), F.posexplode(worded).alias("j", "x"))
+    x = F.trim("x")
+    return rows.select("d", "t", "j", F.xxhash64(x).alias("h"), _word_count(x).cast("int").alias("words"))
 
 
-def _running(df: DataFrame, by: list[str], order: list[str], value: str, slices: Column) -> DataFrame:
-    """Adds ``before``: the sum of ``value`` over earlier rows of the group, by a window for each slice and one over the slices."""
-    cutup = df.withColumn("_sl", slices)
-    parts = cutup.groupBy(*by, "_sl").agg(F.sum(value).alias("_v"))
-    w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_sl").rowsBetween(W.unboundedPreceding, 0)
-    parts = parts.select(*by, "_sl", (F.sum("_v").over(w) - F.col("_v")).alias("_o"))
-    inner = W.partitionBy(*by, "_sl").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    own = cutup.withColumn("_i", F.sum(value).over(inner) - F.col(value))
-    return own.join(parts, [*by, "_sl"]).withColumn("before", F.col("_i") + F.col("_o")).drop("_i", "_o", "_sl")
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """(d, t) of the documents whose text an earlier one has."""
+    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), _text_key(F.col("text")).alias("t"))
+    least = rows.groupBy("t").agg(F.min("d").alias("f"), F.max("d").alias("z"), F.count_if(F.col("d").isNull()).alias("free"))
+    least = least.where("z > f OR z IS NOT NULL AND free > 0").select("t", F.when(F.col("free") == 0, F.col("f")).alias("f"))
+    return rows.join(least, "t").where("d IS NOT NULL AND (f IS NULL OR d > f)").select("d", "t").distinct()
 
 
-def repeated_stretches(docs: DataFrame) -> DataFrame:
-    """The lines that occur twice or more, with ``seg``, the stretch of a document they lie in, and a first rank."""
+def repeated_stretches(docs: DataFrame, later: DataFrame) -> DataFrame:
+    """The lines found at two places or more (d, t, j, words, h), with ``seg``, the stretch of a document they lie in."""
     lines = _lines(docs)
-    counts = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    ids = _running(counts, [], ["h1", "h2"], "c", F.shiftright("h1", 52)).select("h1", "h2", F.col("before").alias("r"))
-    rep = lines.join(ids, ["h1", "h2"]).select("d", "t", "j", "i", "words", "r")
-    rep = rep.repartition("d", "t").dropDuplicates(["d", "t", "j"])
+    place = F.xxhash64("t", "j")  # the same in whole copies
+    often = lines.groupBy("h").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("h")
+    rep = lines.join(often.hint("shuffle_hash"), "h").join(later, ["d", "t"], "left_anti")
     doc = W.partitionBy("d", "t").orderBy("j")
-    return rep.withColumn("seg", F.col("j") - F.row_number().over(doc))
+    rep = rep.withColumn("_before", F.lag("j").over(doc)).where("_before IS NULL OR _before <> j").drop("_before")  # repeated rows
+    rep = rep.withColumn("seg", F.col("j") - F.row_number().over(doc))
+    enough = F.sum("words").over(W.partitionBy("d", "t", "seg"))
+    return rep.withColumn("_all", enough)
 
 
 def _windows(rep: DataFrame, min_words: int) -> DataFrame:
     """Adds ``n``: lines of the shortest run from a position with enough words; ``e``: of the shortest one that ends there."""
     seg = W.partitionBy("d", "t", "seg").orderBy("j")
-    sums = rep.withColumn("hi", F.sum("words").over(seg.rowsBetween(W.unboundedPreceding, 0)))
+    sums = rep.where(F.col("_all") >= min_words).drop("_all").withColumn("hi", F.sum("words").over(seg.rowsBetween(W.unboundedPreceding, 0)))
     sums = sums.withColumn("lo", F.col("hi") - F.col("words"))
     # hi grows along a stretch, so positions with hi >= x start at a bound: a range frame over the sums finds it
     by_hi = W.partitionBy("d", "t", "seg").orderBy("hi")
@@ -108,52 +120,80 @@ def _windows(rep: DataFrame, min_words: int) -> DataFrame:
     return far.withColumn("n", start - F.col("j") + 1).withColumn("e", F.col("j") - end + 1).drop("hi", "lo", "_f", "_l", "_first")
 
 
-def _double(ranks: DataFrame, step: int) -> DataFrame:
-    """Ranks by twice as many lines: rows (d, t, seg, j, r)."""
-    total = W.partitionBy("d", "t", "seg").orderBy("j")
-    pair = ranks.withColumn("r2", F.coalesce(F.lead("r", step).over(total), F.lit(-1).cast("bigint")))
-    keys = pair.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("c"))
-    # ranks lie below the number of positions, so slices of 4096 ranks bound every window
-    keys = _running(keys, ["r"], ["r2"], "c", F.shiftright("r2", 12))
-    new = keys.select("r", "r2", (F.col("r") + F.col("before")).alias("rank"))
-    return pair.join(new, ["r", "r2"]).select("d", "t", "seg", "j", F.col("rank").alias("r"))
-
-
-def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, t, i): the units that lie in a later copy of a repeated run."""
-    rep = cut(_windows(repeated_stretches(docs), min_words))
-    # the runs to decide on: where they start and how many lines they have
-    runs = rep.where("n IS NOT NULL").select("d", "t", "seg", "j", "n").union(rep.where("e IS NOT NULL").select("d", "t", "seg", (F.col("j") - F.col("e") + 1).alias("j"), F.col("e").alias("n"))).distinct()
-    runs = cut(runs)
-    longest = runs.agg(F.max("n")).first()[0]
-    found, step = [], 1
-    # stretches without a run drop out
-    ranks = rep.join(runs.select("d", "t", "seg").distinct(), ["d", "t", "seg"], "left_semi").select("d", "t", "seg", "j", "r")
-    while longest and step <= longest:
-        here = runs.where((F.col("n") >= step) & (F.col("n") < 2 * step))
-        last = ranks.select("d", "t", "seg", F.col("j").alias("q"), F.col("r").alias("b"))
-        at = here.join(ranks, ["d", "t", "seg", "j"]).withColumn("q", F.col("j") + F.col("n") - step).join(last, ["d", "t", "seg", "q"])
-        first = at.groupBy("n", "r", "b").agg(F.min(F.struct("d", "t", "j")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        copies = at.join(first, ["n", "r", "b"]).where(F.struct("d", "t", "j") > F.col("first"))
-        found.append(copies.select("d", "t", "j", "n"))
-        if 2 * step <= longest:
-            ranks = cut(_double(ranks, step))
-        step *= 2
-    if not found:
-        return rep.select("d", "t", "i").limit(0)
-    every = found[0]
-    for x in found[1:]:
-        every = every.union(x)
-    lines = every.select("d", "t", F.explode(F.sequence("j", F.col("j") + F.col("n") - 1)).alias("j")).distinct()
-    return lines.join(rep.select("d", "t", "j", "i"), ["d", "t", "j"]).select("d", "t", "i")
+def _named(rep: DataFrame, min_words: int) -> tuple[DataFrame, list[int]]:
+    """Adds names ``a{s}``, ``b{s}`` of the first s = 1, 2, 4, ... lines from each position (of fewer at the end), and gives these s."""
+    seg = W.partitionBy("d", "t", "seg").orderBy("j")
+    rep = rep.withColumn("a1", F.col("h")).withColumn("b1", F.xxhash64(F.lit("line"), "h"))
+    steps = [1]
+    while 2 * steps[-1] <= min_words:
+        s = steps[-1]
+        both = [F.lead(f"{x}{s}", s).over(seg).alias(f"_{x}") for x in "ab"]
+        rep = rep.select("*", *both).select(
+            *rep.columns, F.xxhash64(f"a{s}", "_a").alias(f"a{2 * s}"), F.xxhash64(F.lit(s), f"b{s}", "_b").alias(f"b{2 * s}")
+        )
+        steps.append(2 * s)
+    return rep, steps
+
+
+def later_copies(docs: DataFrame, later: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(d, t, from, to): stretches of lines (their numbers j, both included) that lie in a later copy of a repeated run."""
+    rep, steps = _named(_windows(repeated_stretches(docs, later), min_words), min_words)
+    names = [f"{x}{s}" for s in steps for x in "ab"]
+    # positions of a stretch side by side, so that a run finds the name of its last lines
+    rows = rep.groupBy("d", "t", "seg").agg(F.sort_array(F.collect_list(F.struct("j", "n", "e", *names))).alias("p"))
+
+    def run(p: Column, i: Column, n: Column) -> Column:
+        def of(which: str, at: Column) -> Column:
+            x = F.get(p, at)
+            out = x[f"{which}1"]
+            for s in steps[1:]:
+                out = F.when(n >= s, x[f"{which}{s}"]).otherwise(out)
+            return out
+
+        size = F.lit(1)
+        for s in steps[1:]:
+            size = F.when(n >= s, F.lit(s)).otherwise(size)
+        z = i + n - size
+        return F.struct(n.alias("n"), of("a", i).alias("a"), of("b", i).alias("b"), of("a", z).alias("c"), of("b", z).alias("d"), F.get(p, i)["j"].alias("j"))
+
+    def runs(p: Column) -> Column:
+        own = F.transform(p, lambda x, i: F.when(x["n"].isNotNull(), run(p, i, x["n"])))
+        # the shortest run that ends here, unless it is also the shortest from where it starts
+        back = F.transform(p, lambda x, i: F.when(x["e"].isNotNull() & ~F.get(p, i - x["e"] + 1)["n"].eqNullSafe(x["e"]), run(p, i - x["e"] + 1, x["e"])))
+        return F.filter(F.concat(own, back), lambda x: x.isNotNull())
+
+    at = rows.select(F.col("d").alias("doc"), "t", F.explode(runs(F.col("p"))).alias("r")).select("doc", "t", "r.*")
+    at = stored(at.withColumn("key", F.xxhash64("n", "a", "b", "c", "d")).withColumn("key2", F.xxhash64(F.lit("run"), "d", "c", "b", "a", "n")).select("doc", "t", "j", "n", "key", "key2"))
+    first = at.groupBy("key", "key2").agg(F.min(F.struct(F.col("doc"), F.col("t"), F.col("j"))).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    copies = at.join(first, ["key", "key2"]).where(F.struct("doc", "t", "j") > F.col("first"))
+    parts = copies.groupBy("doc", "t").agg(F.sort_array(F.collect_list(F.struct(F.col("j").alias("from"), (F.col("j") + F.col("n") - 1).alias("to")))).alias("p"))
+
+    def merge(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["from"].alias("from"), F.greatest(last["to"], x["to"]).alias("to"))))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["to"] >= x["from"] - 1), joined).otherwise(F.concat(acc, F.array(x)))
+
+    none = F.array().cast("array<struct<from:int,to:int>>")
+    merged = F.aggregate("p", none, merge)
+    return parts.select(F.col("doc").alias("d"), "t", merged.alias("parts"))
 
 
 def _with_gone(docs: DataFrame, min_words: int) -> DataFrame:
     """Structs ``_row`` and ``_text``, and ``_gone``, the sorted numbers of the deleted units or NULL."""
-    gone = later_copies(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), min_words)
-    gone = gone.groupBy("d", "t").agg(F.sort_array(F.collect_list("i")).alias("_gone"))
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    later = whole_copies(plain)
+    whole = F.array(F.struct(F.lit(0).alias("from"), F.lit((1 << 31) - 1).alias("to")))
+    gone = later_copies(plain, later, min_words).unionByName(later.withColumn("parts", whole))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("d"), _text_key(F.col("text")).alias("t"))
-    return rows.join(gone, ["d", "t"], "left").select("_row", "_gone")
+    text, parts = F.col("_row.text"), F.col("parts")
+
+    def numbers(units: Column) -> Column:
+        worded = F.filter(F.flatten(F.transform(units, lambda u, i: F.transform(u, lambda x, k: F.when(x.rlike(WORD), i.cast("bigint") * STEP + k)))), lambda x: x.isNotNull())
+        return F.filter(worded, lambda x, j: F.exists(parts, lambda p: (p["from"] <= j) & (j <= p["to"])))
+
+    # a whole copy with too few words for a run stays
+    few = (F.get(parts, 0)["to"] == (1 << 31) - 1) & (F.regexp_count(text, F.lit(WORD)) < min_words)
+    return rows.join(gone, ["d", "t"], "left").select("_row", F.when(parts.isNotNull() & ~few, let(_units(text), numbers)).alias("_gone"))
 
 
 def _left(units: Column, gone: Column) -> Column:
