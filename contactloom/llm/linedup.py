@@ -41,23 +41,21 @@ from pyspark.sql import functions as F
 from .common import WORD, let, stored
 
 MIN_WORDS = 50
-#: Between two units of a line: behind punctuation, where white space and more text, or after CJK marks more text, follows. So no unit is without a word, but for lines without one.
-UNIT = r"(?<=[.,;:!?…])(?=[ \t]+\S)|(?<=[。！？；，、])(?=[ \t]*\S)"
+#: A unit of a line ends behind punctuation that white space follows, or behind a CJK mark. What is without a word then is part of no run.
+_END = r"[.,;:!?…](?=[ \t])|[。！？；，、]"
 #: A unit's number is that of its physical line times this, and its place in the line.
 STEP = 1 << 31
+_WHOLE = (1 << 31) - 1
 
 
-#: The same cut over a whole text, line breaks included.
-_CUT = UNIT + "|\n"
+def _cut(text: Column) -> Column:
+    """The units of a text or line: line breaks set at their ends, then a plain split at line breaks."""
+    return F.split(F.regexp_replace(text, _END, "$0\n"), "\n", -1)
 
 
 def _units(text: Column) -> Column:
     """For each physical line the array of its units; they joined give the line."""
-    return F.transform(F.split(text, "\n", -1), lambda x: F.split(x, UNIT, -1))
-
-
-def _numbers(units: Column) -> Column:
-    return F.flatten(F.transform(units, lambda u, i: F.transform(F.sequence(F.lit(0), F.size(u) - 1), lambda k: i.cast("bigint") * STEP + k)))
+    return F.transform(F.split(text, "\n", -1), _cut)
 
 
 def _text_key(text: Column) -> Column:
@@ -74,7 +72,7 @@ def _word_count(x: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """d, t (text key), j (number among the lines with a word), h (id), words."""
-    worded = F.filter(F.split(F.col("text"), _CUT, -1), lambda x: x.rlike(WORD))
+    worded = F.filter(_cut(F.col("text")), lambda x: x.rlike(WORD))
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), _text_key(F.col("text")).alias("t"), F.posexplode(worded).alias("j", "x"))
     x = F.trim("x")
     return rows.select("d", "t", "j", F.xxhash64(x).alias("h"), _word_count(x).cast("int").alias("words"))
@@ -102,68 +100,62 @@ def repeated_stretches(docs: DataFrame, later: DataFrame) -> DataFrame:
 
 
 def _windows(rep: DataFrame, min_words: int) -> DataFrame:
-    """Adds ``n``: lines of the shortest run from a position with enough words; ``e``: of the shortest one that ends there."""
-    seg = W.partitionBy("d", "t", "seg").orderBy("j")
-    sums = rep.where(F.col("_all") >= min_words).drop("_all").withColumn("hi", F.sum("words").over(seg.rowsBetween(W.unboundedPreceding, 0)))
-    sums = sums.withColumn("lo", F.col("hi") - F.col("words"))
+    """Adds ``hi``, the words of the stretch up to and with the line, and ``n``: lines of the shortest run from a position
+    with enough words; ``e``: of the shortest one that ends there."""
+    stretch = W.partitionBy("d", "t", "seg")
+    rep = rep.where(F.col("_all") >= min_words).drop("_all").withColumn("hi", F.sum("words").over(stretch.orderBy("j").rowsBetween(W.unboundedPreceding, 0)))
     # hi grows along a stretch, so positions with hi >= x start at a bound: a range frame over the sums finds it
-    by_hi = W.partitionBy("d", "t", "seg").orderBy("hi")
-    far = sums
+    by_hi = stretch.orderBy("hi")
     first_at = F.min("j").over(by_hi.rangeBetween(min_words, W.unboundedFollowing))  # first j with hi >= own hi + min_words
     last_at = F.max("j").over(by_hi.rangeBetween(W.unboundedPreceding, -min_words))  # last j with hi <= own hi - min_words
-    far = far.withColumn("_f", first_at).withColumn("_l", last_at).withColumn("_first", F.min("j").over(W.partitionBy("d", "t", "seg")))
+    whole = by_hi.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    far = rep.withColumn("_f", first_at).withColumn("_l", last_at).withColumn("_first", F.min("j").over(whole))
+    far = far.withColumn("_start", F.min(F.when(F.col("hi") >= min_words, F.col("j"))).over(whole)).withColumn("_lag", F.lag("_f").over(by_hi))
     # run from p: least q with hi(q) - lo(p) >= min_words, and lo(p) is the sum before p
-    start = F.when(
-        F.col("j") == F.col("_first"), F.min(F.when(F.col("hi") >= min_words, F.col("j"))).over(W.partitionBy("d", "t", "seg"))
-    ).otherwise(F.lag("_f").over(seg))
+    start = F.when(F.col("j") == F.col("_first"), F.col("_start")).otherwise(F.col("_lag"))
     end = F.when(F.col("_l").isNotNull(), F.col("_l") + 1).when(F.col("hi") >= min_words, F.col("_first"))
-    return far.withColumn("n", start - F.col("j") + 1).withColumn("e", F.col("j") - end + 1).drop("hi", "lo", "_f", "_l", "_first")
+    return far.select("d", "t", "seg", "j", "h", "hi", (start - F.col("j") + 1).alias("n"), (F.col("j") - end + 1).alias("e"))
+
 
+def _named(rep: DataFrame, min_words: int) -> DataFrame:
+    """Adds ``a``: the names of the first 1, 2, 4, ... lines from each position (of fewer at the end)."""
+    seg = W.partitionBy("d", "t", "seg").orderBy("hi")
+    s, names = 1, [F.col("h")]
+    while 2 * s <= min_words:
+        own = "h" if s == 1 else f"a{s}"
+        rep = rep.withColumn("_next", F.lead(own, s).over(seg)).withColumn(f"a{2 * s}", F.xxhash64(own, "_next")).drop("_next")
+        s *= 2
+        names.append(F.col(f"a{s}"))
+    return rep.select("d", "t", "seg", "j", "n", "e", F.array(*names).alias("a"))
 
-def _named(rep: DataFrame, min_words: int) -> tuple[DataFrame, list[int]]:
-    """Adds names ``a{s}``, ``b{s}`` of the first s = 1, 2, 4, ... lines from each position (of fewer at the end), and gives these s."""
-    seg = W.partitionBy("d", "t", "seg").orderBy("j")
-    rep = rep.withColumn("a1", F.col("h")).withColumn("b1", F.xxhash64(F.lit("line"), "h"))
-    steps = [1]
-    while 2 * steps[-1] <= min_words:
-        s = steps[-1]
-        both = [F.lead(f"{x}{s}", s).over(seg).alias(f"_{x}") for x in "ab"]
-        rep = rep.select("*", *both).select(
-            *rep.columns, F.xxhash64(f"a{s}", "_a").alias(f"a{2 * s}"), F.xxhash64(F.lit(s), f"b{s}", "_b").alias(f"b{2 * s}")
-        )
-        steps.append(2 * s)
-    return rep, steps
+
+def _level(n: str) -> Column:
+    """The largest k with 2**k <= n."""
+    return F.length(F.bin(F.col(n).cast("bigint"))) - 1
 
 
 def later_copies(docs: DataFrame, later: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, t, from, to): stretches of lines (their numbers j, both included) that lie in a later copy of a repeated run."""
-    rep, steps = _named(_windows(repeated_stretches(docs, later), min_words), min_words)
-    names = [f"{x}{s}" for s in steps for x in "ab"]
+    """(d, t, parts): stretches of lines (their numbers j, both included) that lie in a later copy of a repeated run."""
+    rep = _named(_windows(repeated_stretches(docs, later), min_words), min_words)
     # positions of a stretch side by side, so that a run finds the name of its last lines
-    rows = rep.groupBy("d", "t", "seg").agg(F.sort_array(F.collect_list(F.struct("j", "n", "e", *names))).alias("p"))
-
-    def run(p: Column, i: Column, n: Column) -> Column:
-        def of(which: str, at: Column) -> Column:
-            x = F.get(p, at)
-            out = x[f"{which}1"]
-            for s in steps[1:]:
-                out = F.when(n >= s, x[f"{which}{s}"]).otherwise(out)
-            return out
-
-        size = F.lit(1)
-        for s in steps[1:]:
-            size = F.when(n >= s, F.lit(s)).otherwise(size)
-        z = i + n - size
-        return F.struct(n.alias("n"), of("a", i).alias("a"), of("b", i).alias("b"), of("a", z).alias("c"), of("b", z).alias("d"), F.get(p, i)["j"].alias("j"))
+    side = F.struct("j", "n", "e", _level("n").alias("kn"), _level("e").alias("ke"), "a")
+    rows = rep.groupBy("d", "t", "seg").agg(F.sort_array(F.collect_list(side)).alias("p"))
+
+    def run(p: Column, i: Column, n: Column, k: Column) -> Column:
+        own, last = F.get(p, i), F.get(p, i + n - 1)
+        end = F.get(p, i + n - F.call_function("shiftleft", F.lit(1), k))
+        name = lambda x, k: F.get(x["a"], k)
+        return F.struct(n.alias("n"), own["j"].alias("j"), name(own, k).alias("a"), name(end, k).alias("b"), name(own, F.lit(0)).alias("x"), name(last, F.lit(0)).alias("y"))
 
     def runs(p: Column) -> Column:
-        own = F.transform(p, lambda x, i: F.when(x["n"].isNotNull(), run(p, i, x["n"])))
+        own = F.transform(p, lambda x, i: F.when(x["n"].isNotNull(), run(p, i, x["n"], x["kn"])))
         # the shortest run that ends here, unless it is also the shortest from where it starts
-        back = F.transform(p, lambda x, i: F.when(x["e"].isNotNull() & ~F.get(p, i - x["e"] + 1)["n"].eqNullSafe(x["e"]), run(p, i - x["e"] + 1, x["e"])))
+        back = F.transform(p, lambda x, i: F.when(x["e"].isNotNull() & ~F.get(p, i - x["e"] + 1)["n"].eqNullSafe(x["e"]), run(p, i - x["e"] + 1, x["e"], x["ke"])))
         return F.filter(F.concat(own, back), lambda x: x.isNotNull())
 
     at = rows.select(F.col("d").alias("doc"), "t", F.explode(runs(F.col("p"))).alias("r")).select("doc", "t", "r.*")
-    at = stored(at.withColumn("key", F.xxhash64("n", "a", "b", "c", "d")).withColumn("key2", F.xxhash64(F.lit("run"), "d", "c", "b", "a", "n")).select("doc", "t", "j", "n", "key", "key2"))
+    # a key of 128 bits, of two different digests of names and ends
+    at = stored(at.select("doc", "t", "j", "n", F.xxhash64("n", "a", "b").alias("key"), F.xxhash64("b", "x", "n", "y", "a").alias("key2")))
     first = at.groupBy("key", "key2").agg(F.min(F.struct(F.col("doc"), F.col("t"), F.col("j"))).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     copies = at.join(first, ["key", "key2"]).where(F.struct("doc", "t", "j") > F.col("first"))
     parts = copies.groupBy("doc", "t").agg(F.sort_array(F.collect_list(F.struct(F.col("j").alias("from"), (F.col("j") + F.col("n") - 1).alias("to")))).alias("p"))
@@ -179,68 +171,57 @@ def later_copies(docs: DataFrame, later: DataFrame, min_words: int = MIN_WORDS)
 
 
 def _with_gone(docs: DataFrame, min_words: int) -> DataFrame:
-    """Structs ``_row`` and ``_text``, and ``_gone``, the sorted numbers of the deleted units or NULL."""
+    """``_row``, the row as a struct, and ``_left``: NULL, or the text that is left and the lines lost of a document that loses some."""
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     later = whole_copies(plain)
-    whole = F.array(F.struct(F.lit(0).alias("from"), F.lit((1 << 31) - 1).alias("to")))
+    whole = F.array(F.struct(F.lit(0).alias("from"), F.lit(_WHOLE).alias("to")))
     gone = later_copies(plain, later, min_words).unionByName(later.withColumn("parts", whole))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("d"), _text_key(F.col("text")).alias("t"))
     text, parts = F.col("_row.text"), F.col("parts")
-
-    def numbers(units: Column) -> Column:
-        worded = F.filter(F.flatten(F.transform(units, lambda u, i: F.transform(u, lambda x, k: F.when(x.rlike(WORD), i.cast("bigint") * STEP + k)))), lambda x: x.isNotNull())
-        return F.filter(worded, lambda x, j: F.exists(parts, lambda p: (p["from"] <= j) & (j <= p["to"])))
-
     # a whole copy with too few words for a run stays
-    few = (F.get(parts, 0)["to"] == (1 << 31) - 1) & (F.regexp_count(text, F.lit(WORD)) < min_words)
-    return rows.join(gone, ["d", "t"], "left").select("_row", F.when(parts.isNotNull() & ~few, let(_units(text), numbers)).alias("_gone"))
-
-
-def _left(units: Column, gone: Column) -> Column:
-    return F.array_except(_numbers(units), gone)
-
-
-def _rest(text: Column, gone: Column) -> Column:
-    """The units that are left, joined again; a line without any goes with its line break."""
-    def joined(units: Column) -> Column:
-        def piece(left: Column, n: Column, k: Column) -> Column:
-            line = F.floor(n / STEP).cast("int")
-            same = (k == 0) | (F.floor(F.get(left, k - 1) / STEP) == F.floor(n / STEP))
-            return F.concat(F.when(same, "").otherwise("\n"), F.get(F.get(units, line), (n % STEP).cast("int")))
+    few = (F.get(parts, 0)["to"] == _WHOLE) & (F.regexp_count(text, F.lit(WORD)) < min_words)
+    return rows.join(gone, ["d", "t"], "left").select("_row", F.when(parts.isNotNull() & ~few, let(_units(text), lambda u: _left(u, parts))).alias("_left"))
 
-        return let(_left(units, gone), lambda left: F.array_join(F.transform(left, lambda n, k: piece(left, n, k)), ""))
 
-    return F.when(gone.isNull(), text).otherwise(let(_units(text), joined))
+def _left(units: Column, parts: Column) -> Column:
+    """Struct of ``text``, the units that are left joined again, a line without any going with its line break; and ``lost``, the numbers of such lines."""
+    every = F.flatten(F.transform(units, lambda u, i: F.transform(u, lambda x, k: F.struct((i.cast("bigint") * STEP + k).alias("n"), x.alias("x")))))
 
+    def kept(all_: Column) -> Column:
+        worded = F.transform(F.filter(all_, lambda s: s["x"].rlike(WORD)), lambda s: s["n"])
+        gone = F.filter(worded, lambda n, j: F.exists(parts, lambda p: (p["from"] <= j) & (j <= p["to"])))
+        return let(gone, lambda g: F.filter(all_, lambda s: ~F.array_contains(g, s["n"]) & (s["x"].rlike(WORD) | ~F.exists(g, lambda n: F.floor(n / STEP) == F.floor(s["n"] / STEP)))))
 
-def _lines_gone(text: Column, gone: Column) -> Column:
-    """Numbers of the physical lines of which nothing is left, or NULL."""
-    def lost(units: Column) -> Column:
-        return F.array_except(F.sequence(F.lit(0), F.size(units) - 1).cast("array<bigint>"), F.transform(_left(units, gone), lambda n: F.floor(n / STEP)))
+    def joined(left: Column) -> Column:
+        line = lambda s: F.floor(s["n"] / STEP)
+        pieces = F.transform(left, lambda s, k: F.concat(F.when((k == 0) | (line(F.get(left, k - 1)) == line(s)), "").otherwise("\n"), s["x"]))
+        held = F.transform(left, lambda s: line(s))
+        lost = F.array_except(F.sequence(F.lit(0), F.size(units) - 1).cast("array<bigint>"), held)
+        # what is without a word goes with the last unit of its line that has one
+        return F.struct(F.array_join(pieces, "").alias("text"), lost.alias("lost"))
 
-    return F.when(gone.isNotNull(), let(_units(text), lost))
+    return let(let(every, kept), joined)
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_deleted, deleted (numbers from 0 of the lines deleted whole) and the text that is left, also without parts of lines."""
     df = _with_gone(docs.select("doc_id", "text"), min_words)
-    text = F.col("_row.text")
-    df = df.withColumn("_lost", _lines_gone(text, F.col("_gone")))
+    text, left = F.col("_row.text"), F.col("_left")
     return df.select(
         "_row.doc_id",
         F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_lost"), F.lit(0)).cast("bigint").alias("n_deleted"),
-        F.array_join(F.col("_lost"), ",").alias("deleted"),
-        _rest(text, F.col("_gone")).alias("text"),
+        F.coalesce(F.size(left["lost"]), F.lit(0)).cast("bigint").alias("n_deleted"),
+        F.array_join(left["lost"], ",").alias("deleted"),
+        F.when(left.isNull(), text).otherwise(left["text"]).alias("text"),
     )
 
 
 def without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with later copies of runs cut out of ``text``, ``n_chars`` following; those left without a word go."""
     df = _with_gone(docs, min_words)
-    row = F.col("_row")
-    text = _rest(row["text"], F.col("_gone"))
-    out = df.select(*[(text if c == "text" else row[c]).alias(c) for c in docs.columns], F.col("_gone").isNotNull().alias("_cut"))
+    row, left = F.col("_row"), F.col("_left")
+    text = F.when(left.isNull(), row["text"]).otherwise(left["text"])
+    out = df.select(*[(text if c == "text" else row[c]).alias(c) for c in docs.columns], left.isNotNull().alias("_cut"))
     out = out.where(~F.col("_cut") | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
