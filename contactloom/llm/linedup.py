@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import WORD, let, stored
 
 MIN_WORDS = 50
-#: A unit of a line ends behind punctuation that white space follows, or behind a CJK mark. What is without a word then is part of no run.
-_END = r"[.,;:!?…](?=[ \t])|[。！？；，、]"
+#: A unit of a line ends behind punctuation where white space and more text, or behind CJK marks more text, follows. So no unit is without a word, but for lines without one.
+_END = r"[.,;:!?…。！？；，、](?:(?=[ \t]+\S)|(?<=[。！？；，、])(?=\S))"
 #: A unit's number is that of its physical line times this, and its place in the line.
 STEP = 1 << 31
 _WHOLE = (1 << 31) - 1
@@ -70,12 +70,17 @@ def _word_count(x: Column) -> Column:
     return F.when(odd, F.regexp_count(x, F.lit(WORD))).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
 
 
+def _has_word(x: Column) -> Column:
+    """Whether a unit has a word; its first character behind spaces tells it for nearly all."""
+    trimmed = F.trim(x)
+    return F.when(F.ascii(trimmed) > 32, True).when(trimmed == "", False).otherwise(x.rlike(WORD))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """d, t (text key), j (number among the lines with a word), h (id), words."""
-    worded = F.filter(_cut(F.col("text")), lambda x: x.rlike(WORD))
-    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), _text_key(F.col("text")).alias("t"), F.posexplode(worded).alias("j", "x"))
-    x = F.trim("x")
-    return rows.select("d", "t", "j", F.xxhash64(x).alias("h"), _word_count(x).cast("int").alias("words"))
+    whole = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), _text_key(F.col("text")).alias("t"), F.filter(_cut(F.col("text")), _has_word).alias("u"))
+    rows = whole.select("d", "t", F.posexplode("u").alias("j", "x")).select("d", "t", "j", F.trim("x").alias("x"))
+    return rows.select("d", "t", "j", F.xxhash64("x").alias("h"), _word_count(F.col("x")).cast("int").alias("words"))
 
 
 def whole_copies(docs: DataFrame) -> DataFrame:
@@ -185,22 +190,21 @@ def _with_gone(docs: DataFrame, min_words: int) -> DataFrame:
 
 def _left(units: Column, parts: Column) -> Column:
     """Struct of ``text``, the units that are left joined again, a line without any going with its line break; and ``lost``, the numbers of such lines."""
-    every = F.flatten(F.transform(units, lambda u, i: F.transform(u, lambda x, k: F.struct((i.cast("bigint") * STEP + k).alias("n"), x.alias("x")))))
-
-    def kept(all_: Column) -> Column:
-        worded = F.transform(F.filter(all_, lambda s: s["x"].rlike(WORD)), lambda s: s["n"])
-        gone = F.filter(worded, lambda n, j: F.exists(parts, lambda p: (p["from"] <= j) & (j <= p["to"])))
-        return let(gone, lambda g: F.filter(all_, lambda s: ~F.array_contains(g, s["n"]) & (s["x"].rlike(WORD) | ~F.exists(g, lambda n: F.floor(n / STEP) == F.floor(s["n"] / STEP)))))
+    number = lambda i, k: i.cast("bigint") * STEP + k
+    every = F.flatten(F.transform(units, lambda u, i: F.transform(u, lambda x, k: number(i, k))))
+    worded = F.filter(F.flatten(F.transform(units, lambda u, i: F.transform(u, lambda x, k: F.when(_has_word(x), number(i, k))))), lambda n: n.isNotNull())
+    gone = let(worded, lambda w: F.flatten(F.transform(parts, lambda p: F.slice(w, p["from"] + 1, F.greatest(F.least(p["to"], F.size(w) - 1) - p["from"] + 1, F.lit(0))))))
+    line = lambda n: F.floor(n / STEP)
 
     def joined(left: Column) -> Column:
-        line = lambda s: F.floor(s["n"] / STEP)
-        pieces = F.transform(left, lambda s, k: F.concat(F.when((k == 0) | (line(F.get(left, k - 1)) == line(s)), "").otherwise("\n"), s["x"]))
-        held = F.transform(left, lambda s: line(s))
-        lost = F.array_except(F.sequence(F.lit(0), F.size(units) - 1).cast("array<bigint>"), held)
-        # what is without a word goes with the last unit of its line that has one
+        pieces = F.transform(
+            left,
+            lambda n, k: F.concat(F.when((k == 0) | (line(F.get(left, k - 1)) == line(n)), "").otherwise("\n"), F.get(F.get(units, line(n).cast("int")), (n % STEP).cast("int"))),
+        )
+        lost = F.array_except(F.sequence(F.lit(0), F.size(units) - 1).cast("array<bigint>"), F.transform(left, line))
         return F.struct(F.array_join(pieces, "").alias("text"), lost.alias("lost"))
 
-    return let(let(every, kept), joined)
+    return let(F.array_except(every, gone), joined)
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
