@@ -1,18 +1,18 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with notice templates.
 
-A block is a line of the text, or a window of as many words as the template has,
-over line breaks, so that wrapped notices count; it matches a template if it holds
-at least ``threshold`` of the template's distinct words. The words of all templates are
-ordered by the number of documents of the whole corpus that hold them, rarest
-first. A block can only reach the needed overlap if (prefix filter) it holds one
-of the rarest ``size - needed + 1`` words of the template, (length filter) it
-holds enough template words at all, and (positional filter) the words from the
-first common one on, in both orders, still suffice. What passes is counted out.
-Blocks are only built in texts that hold enough words of a template at all, and
-windows only start at a template word with enough of them within the length.
-
-The templates are constants, so the join runs inside the row and nothing is
-shuffled but the counts of at most as many words as the templates have.
+A block is any window of ``SPAN`` times as many words as the template has, over line
+breaks, so that wrapped and interrupted notices count; it matches a template if it
+holds at least ``threshold`` of the template's distinct words. The words of all
+templates are ordered by the number of documents of the whole corpus that hold them,
+rarest first. A block can only reach the needed overlap if it holds one of the rarest
+``size - needed + 1`` words of the template (prefix filter): the rare words of all
+texts meet these prefixes in an equi-join. The template's words from the hit on in
+the global order must still suffice, in the text and then in the surroundings of each
+place of the hit (length and positional filter); what passes is counted out, window
+by window, each from its rarest template word.
+
+The prefixes are a table of at most as many rows as the templates have words. Hits are
+joined back to the rows by doc_id and a key of the text; texts are never shuffled.
 
 Defined cases: NULL text is an empty one; repeated rows are scanned one by one;
 an empty table gives no rows; further columns are ignored.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, let
@@ -45,7 +45,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("gpl-text", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by"),
 )
-THRESHOLD = 0.8
+THRESHOLD, SPAN = 0.8, 2
+#: Prefix tables of up to so many rows are broadcast; larger ones are left to the optimiser.
+BROADCAST_ROWS = 200_000
 
 
 def _sequence(text: str) -> list[str]:
@@ -63,88 +65,58 @@ def _flat(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text), NOT_WORD, " ")), F.lit(" "))
 
 
-def _lines(text: Column) -> Column:
-    return F.transform(F.split(ascii_lower(text), "\n", -1), lambda x: F.trim(F.regexp_replace(x, NOT_WORD, " ")))
-
-
 def _literals(found: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in found])
 
 
-def word_order(docs: DataFrame, text: str, templates=TEMPLATES) -> list[str]:
-    """The words of all templates, those of the fewest documents first (ties: the smaller word)."""
+def word_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
+    """The words of all templates, those of the fewest documents first (ties: the smaller word); ``docs`` has flat."""
     vocabulary = sorted({w for _, t in templates for w in template_words(t)})
-    # a word of the templates has only letters and digits, so it can be told by what stands around it in the flat text
-    held = F.array_intersect(_literals(vocabulary), F.split(_flat(F.coalesce(F.col(text), F.lit(""))), " "))
+    held = F.array_intersect(_literals(vocabulary), F.split("flat", " "))
     counts = docs.select(F.explode(held).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     of = {r["w"]: r["n"] for r in counts.collect()}  # at most one row for each word of the templates
     return sorted(vocabulary, key=lambda w: (of.get(w, 0), w))
 
 
-def _window_containment(w: Column, templates, threshold: float) -> Column:
-    """For each template the largest share of its words that one window of its length holds, or 0 if below the threshold."""
-    def of(t: str) -> Column:
-        ws, length = template_words(t), len(_sequence(t))
-        need = math.ceil(threshold * len(ws) - 1e-9)
-        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(_literals(ws), F.get(w, i)))
-        starts = let(at, lambda a: F.filter(a, lambda p, k: F.get(a, k + (need - 1)) - p < length))
-        held = F.array_max(F.transform(starts, lambda p: F.size(F.array_intersect(_literals(ws), F.slice(w, p + 1, F.lit(length))))))
-        # too few words in the whole text: no window is looked at
-        enough = F.size(F.array_intersect(_literals(ws), w)) >= need
-        return F.when(enough, F.coalesce(F.when(held >= need, held / F.lit(float(len(ws)))), F.lit(0.0))).otherwise(F.lit(0.0))
+def needed(words: int, threshold: float = THRESHOLD) -> int:
+    return math.ceil(threshold * words - 1e-9)
 
-    return F.array(*[of(t) for _, t in templates])
 
+def prefixes(spark: SparkSession, order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """word, label, rest (the template's words from this one on, in global order), size, need, span: the prefix words of all templates."""
+    rank = {w: k for k, w in enumerate(order)}
+    rows = []
+    for label, text in templates:
+        ws = sorted(template_words(text), key=rank.__getitem__)
+        need = needed(len(ws), threshold)
+        rows += [(ws[i], label, ws[i:], len(ws), need, SPAN * len(_sequence(text))) for i in range(len(ws) - need + 1)]
+    return spark.createDataFrame(rows, "word string, label string, rest array<string>, size int, need int, span int")
 
-def _containment(text: Column, flat: Column, order: list[str], templates, threshold: float) -> Column:
-    """For each template the largest share over lines and windows."""
-    sets = [template_words(t) for _, t in templates]
 
-    def best(held: Column) -> Column:
-        any_ = F.lit(False)
-        for ws in sets:
-            any_ = any_ | (F.size(F.array_intersect(held, _literals(ws))) >= math.ceil(threshold * len(ws) - 1e-9))
-        windows = let(F.split(F.trim(flat), " "), lambda w: _window_containment(w, templates, threshold))
-        both = F.zip_with(_best_containment(_lines(text), order, templates, threshold), windows, lambda p, q: F.greatest(p, q))
-        return F.when(any_, both).otherwise(F.array(*[F.lit(0.0)] * len(sets)))
+def template_hits(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, key, own (labels), share: the documents with a block that meets a template; ``docs`` has doc_id, key and flat."""
+    table = prefixes(docs.sparkSession, word_order(docs, templates), templates, threshold)
+    wanted = sorted({r["word"] for r in table.select("word").collect()})  # at most one for each word of the templates
+    words = docs.select("doc_id", "key", F.split(F.trim("flat"), " ").alias("w"))
+    # only the prefix words that a text holds leave it, so texts without any end here
+    held = words.select("doc_id", "key", "w", F.explode(F.array_intersect("w", _literals(wanted))).alias("word"))
+    hits = held.join(F.broadcast(table) if len(wanted) <= BROADCAST_ROWS else table, "word")
+    hits = hits.where(F.size(F.array_intersect("rest", "w")) >= F.col("need"))
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) == F.col("word"))
 
-    return let(F.array_intersect(_literals(order), F.split(flat, " ")), best)
+    def most(p: Column) -> Column:
+        near = F.slice("w", F.greatest(p - F.col("span") + 2, F.lit(1)), F.least(p + 1, F.col("span")) + F.col("span") - 1)
 
+        def counted(x: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(x) - F.col("span") + 1, F.lit(1)))
+            windows = F.transform(starts, lambda i: F.size(F.array_intersect("rest", F.slice(x, i, F.col("span")))))
+            return F.when(F.size(F.array_intersect("rest", x)) >= F.col("need"), F.array_max(windows)).otherwise(0)
 
-def _best_containment(lines: Column, order: list[str], templates, threshold: float) -> Column:
-    """For each template the largest share of its words that one line holds, or 0 if below the threshold."""
-    rank = {w: k for k, w in enumerate(order)}
-    sets = [(label, sorted(template_words(t), key=rank.__getitem__)) for label, t in templates]
-    needed = {label: math.ceil(threshold * len(ws) - 1e-9) for label, ws in sets}
-    least = min(needed.values())
-    blocks = F.filter(
-        F.transform(lines, lambda x: F.array_intersect(_literals(order), F.split(x, " "))),  # in global order
-        lambda b: F.size(b) >= least,  # length filter over all templates
-    )
+        return let(near, counted)
 
-    def of(b: Column) -> Column:
-        out = []
-        for label, ws in sets:
-            need = needed[label]
-            prefix = ws[: len(ws) - need + 1]
-            common = F.array_intersect(b, _literals(ws))
-            first = F.get(common, 0)
-            # words of either side from the first common one on
-            rest_b = F.size(b) - F.array_position(b, first) + 1
-            rest_t = F.lit(len(ws)) - F.array_position(_literals(ws), first) + 1
-            passes = (
-                (F.size(b) >= need)
-                & F.arrays_overlap(b, _literals(prefix))
-                & (F.least(rest_b, rest_t) >= need)
-                & (F.size(common) >= need)
-            )
-            out.append(F.when(passes, F.size(common) / F.lit(float(len(ws)))).otherwise(F.lit(0.0)).alias(label))
-        return F.array(*out)
-
-    none = F.array(*[F.lit(0.0)] * len(sets))
-    return F.aggregate(
-        F.transform(blocks, of), none, lambda a, x: F.zip_with(a, x, lambda p, q: F.greatest(p, q))
-    )
+    hits = hits.select("doc_id", "key", "label", "size", "need", F.array_max(F.transform(places, most)).alias("most"))
+    found = hits.where("most >= need").select("doc_id", "key", "label", (F.col("most") / F.col("size").cast("double")).alias("share"))
+    return found.groupBy("doc_id", "key").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"))
 
 
 def _places(flat: Column, phrases) -> Column:
@@ -175,20 +147,25 @@ def license_scan(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES
 ) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = word_order(docs, "text", templates)
-    names = [label for label, _ in templates]
-    df = docs.select("doc_id", _flat(F.col("text")).alias("_flat"), let(_flat(F.col("text")), lambda f: _containment(F.col("text"), f, order, templates, threshold)).alias("_best"))
-    df = df.select("doc_id", "_best", F.when(F.trim("_flat") == "", 0).otherwise(F.regexp_count("_flat", F.lit(" ")) - 1).cast("bigint").alias("n_words"), _places(F.col("_flat"), phrases).alias("_at"))
-    base = F.array_sort(F.array_distinct(F.col("_at")["label"]))
-    own = F.filter(F.array(*[F.when(F.get("_best", F.lit(k)) > 0, F.lit(n)) for k, n in enumerate(names)]), lambda x: x.isNotNull())
+    text_ = F.coalesce(F.col(text), F.lit(""))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_).alias("key"), _flat(text_).alias("flat"))
+    hits = template_hits(docs, templates, threshold).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "own", "share")
+    n_words = F.when(F.trim("flat") == "", 0).otherwise(F.regexp_count("flat", F.lit(" ")) - 1).cast("bigint")
+    df = docs.select("doc_id", "key", n_words.alias("n_words"), _places(F.col("flat"), phrases).alias("_at"))
+    at = F.col("_at")
+    base = F.array_sort(F.array_distinct(at["label"]))
+    df = df.select(
+        "doc_id", "key", "n_words", F.size(at).cast("bigint").alias("n_base"), F.array_min(at["p"]).alias("first_word"), F.array_max(at["p"]).alias("last_word"), base.alias("base")
+    )
+    df = df.join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left")
+    own = F.coalesce("own", F.array().cast("array<string>"))
     return df.select(
         "doc_id",
         "n_words",
-        F.size("_at").cast("bigint").alias("n_base"),
-        F.array_min(F.col("_at")["p"]).alias("first_word"),
-        F.array_max(F.col("_at")["p"]).alias("last_word"),
-        F.array_join(base, ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"),
-        F.greatest(F.when(F.size("_at") > 0, 1.0).otherwise(0.0), F.array_max("_best")).alias("score"),
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("base", own))), ",").alias("labels"),
+        F.greatest(F.when(F.col("n_base") > 0, 1.0).otherwise(0.0), F.coalesce("share", F.lit(0.0))).alias("score"),
     )

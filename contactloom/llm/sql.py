@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import PHRASES, TEMPLATES, THRESHOLD, template_words
+from .licenses import PHRASES, SPAN, TEMPLATES, _sequence, needed, template_words
 from .quality import BASE_MIN_WORDS, BASE_REPEAT_PERCENT, RULES, STOP_FORMS
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_FORMS)
@@ -42,7 +42,9 @@ WITH d AS (
 SELECT *, NOT base_failed AND failed_rules = '' AS kept FROM v
 """
 
-_TEMPLATE_ROWS = ", ".join(f"('{label}', [" + ", ".join(f"'{w}'" for w in template_words(t)) + "])" for label, t in TEMPLATES)
+_TEMPLATE_ROWS = ", ".join(
+    f"('{label}', [" + ", ".join(f"'{w}'" for w in template_words(t)) + f"], {needed(len(template_words(t)))}, {SPAN * len(_sequence(t))})" for label, t in TEMPLATES
+)
 _PLACES = " UNION ALL ".join(
     f"SELECT rid, i - 1 AS p, '{label}' AS label FROM (SELECT rid, w, unnest(generate_series(1, len(w))) AS i FROM e WHERE contains(flat, ' {phrase} ')) "
     f"WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
@@ -57,12 +59,13 @@ WITH d AS (
 ), p AS ({_PLACES}
 ), b AS (
   SELECT rid, count(*) AS n, min(p) AS a, max(p) AS z, list_sort(list(DISTINCT label)) AS l FROM p GROUP BY rid
-), lines AS (
-  SELECT rid, regexp_extract_all(unnest(string_split(t, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM d
+), c0 AS (
+  SELECT rid, w, label, ws, need, span, unnest(generate_series(1, len(w))) AS i
+  FROM e, (VALUES {_TEMPLATE_ROWS}) AS k(label, ws, need, span) WHERE len(list_intersect(w, ws)) >= need
+), c1 AS (
+  SELECT rid, label, ws, need, list_intersect(w[i:i + span - 1], ws) AS x FROM c0 WHERE list_contains(ws, w[i])
 ), c AS (
-  SELECT rid, label, max(len(list_intersect(x, ws)) / len(ws)) AS s
-  FROM lines, (VALUES {_TEMPLATE_ROWS}) AS k(label, ws)
-  WHERE len(list_intersect(x, ws)) >= ceil({THRESHOLD} * len(ws) - 1e-9) GROUP BY rid, label
+  SELECT rid, label, max(len(x) / len(ws)) AS s FROM c1 WHERE len(x) >= need GROUP BY rid, label
 ), m AS (
   SELECT rid, list(label) AS own, max(s) AS s FROM c GROUP BY rid
 )

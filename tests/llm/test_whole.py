@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from contactloom.llm import langid, licenses, linedup
+from contactloom.llm import ann, langid, licenses, linedup
 
 
 @pytest.mark.parametrize("width", [40, 79])
@@ -101,3 +101,18 @@ def test_switches_are_learned_and_found_in_spliced_held_out_texts():
         n += len(gold)
     print("word accuracy", right / n, "without transitions", plain / n)
     assert right / n > 0.85 and right > plain
+
+
+def test_repeated_ids_and_lengths_have_their_own_neighbours(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 4.0]), (40, [1.0, 1.0, 1.0]), (3, [2.0, 2.0, 2.0]), (None, [1.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "1 AS block", "2 AS q", "3 AS cells", "4 AS row")
+    got = sorted(tuple(r) for r in ann.nearest(d, top=2).collect())
+    assert got == [(20, 1, 1, 3.0), (20, 1, 2, 4.0), (20, 2, 1, 1.0), (20, 2, 2, 1.0), (40, 1, 3, 6.0)]
+
+
+def test_clustered_vectors_need_few_cells():
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(100, 16)), 60, axis=0) + 0.02 * rng.normal(size=(6000, 16))
+    books = ann.code_book(x[:, :8], 64, 1), ann.code_book(x[:, 8:], 64, 2)
+    assert ann.least_share(x, books, 20) <= 0.1
+    assert ann.least_share(rng.normal(size=(3000, 64)), (rng.normal(size=(64, 32)), rng.normal(size=(64, 32))), 20) >= 0.35
