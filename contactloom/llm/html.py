@@ -15,8 +15,10 @@ browsers do for paragraphs; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -46,12 +48,15 @@ SIGMA, RADIUS = 1.0, 3
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, ancestors, never content)."""
+    """Collects (text, tags, innermost element, never content)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
+        #: elements in the order of their start tags; those inside element n are n to ends[n] - 1
         self.names: list[str] = ["page"]
+        self.ends: dict[int, int] = {}
+        self.held: Counter[str] = Counter()  # open elements by name
         self.open: list[tuple[str, int, bool]] = [("page", 0, False)]
         self.parts: list[str] = []
         self.tags = 0
@@ -59,12 +64,12 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.tags + 1, tuple(n for _, n, _ in self.open), self.open[-1][2]))
+            self.lines.append((text, self.tags + 1, self.open[-1][1], self.open[-1][2]))
             self.tags = 0
         self.parts = []
 
     def _hidden(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in NEVER or tag == "header" and not any(t in ("article", "main") for t, _, _ in self.open):
+        if tag in NEVER or tag == "header" and not (self.held["article"] or self.held["main"]):
             return True
         for key, value in attrs:
             if key in ("class", "id", "role") and value and tag not in ("html", "body", "article", "main") and _NAMED.search(value):
@@ -76,6 +81,9 @@ class _Lines(HTMLParser):
     def _pop_to(self, tags: set[str] | frozenset[str], walls: frozenset[str]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] in tags:
+                for t, n, _ in self.open[k:]:
+                    self.ends[n] = len(self.names)
+                    self.held[t] -= 1
                 del self.open[k:]
                 return
             if self.open[k][0] in walls:
@@ -99,6 +107,7 @@ class _Lines(HTMLParser):
         if hidden and tag not in BLOCK:
             self.flush()
         self.names.append(tag)
+        self.held[tag] += 1
         self.open.append((tag, len(self.names) - 1, hidden or self.open[-1][2]))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -106,9 +115,10 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in BLOCK or tag in NEVER or any(t == tag for t, _, _ in self.open):
+        if tag in BLOCK or tag in NEVER or self.held[tag]:
             self.flush()
-            self._pop_to({tag}, frozenset())
+            if self.held[tag]:
+                self._pop_to({tag}, frozenset())
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
@@ -120,7 +130,7 @@ def _smoothed(x: list[float]) -> list[float]:
     for i in range(len(x)):
         lo, hi = max(0, i - RADIUS), min(len(x), i + RADIUS + 1)
         w = kernel[lo - i + RADIUS : hi - i + RADIUS]
-        out.append(sum(a * b for a, b in zip(w, x[lo:hi], strict=True)) / sum(w))
+        out.append(round(sum(a * b for a, b in zip(w, x[lo:hi], strict=True)) / sum(w), 9))  # equal ratios stay equal
     return out
 
 
@@ -148,17 +158,18 @@ def main_text(html: str | None) -> str:
         return ""
     ratio = _smoothed([0.0 if never else len(text) / tags for text, tags, _, never in lines])
     cut = _threshold(ratio)
-    held: dict[int, int] = {}
-    total = 0
-    for (text, _, above, never), r in zip(lines, ratio, strict=True):
+    # text-rich characters before each element, then inside it
+    rich = [0] * (len(parser.names) + 1)
+    for (text, _, n, never), r in zip(lines, ratio, strict=True):
         if r >= cut and not never:
-            total += len(text)
-            for n in above:
-                held[n] = held.get(n, 0) + len(text)
-    inside = [n for n, v in held.items() if v >= 0.8 * total]
-    named = [n for n in inside if parser.names[n] in ("article", "main")]
-    region = max(named) if named else max((n for n in inside if parser.names[n] != "p" and held[n] >= 0.95 * total), default=0)
-    return "\n\n".join(text for text, _, above, never in lines if not never and region in above)
+            rich[n + 1] += len(text)
+    before = list(itertools.accumulate(rich))
+    end = [parser.ends.get(n, len(parser.names)) for n in range(len(parser.names))]
+    held = [before[e] - before[n] for n, e in enumerate(end)]
+    total = before[-1]
+    named = [n for n, v in enumerate(held) if v >= 0.8 * total and v and parser.names[n] in ("article", "main")]
+    region = max(named) if named else max((n for n, v in enumerate(held) if parser.names[n] != "p" and v and v >= 0.95 * total), default=0)
+    return "\n\n".join(text for text, _, n, never in lines if not never and region <= n < end[region])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
