@@ -23,7 +23,7 @@ def test_threshold_decides(monkeypatch):
 
 
 def test_smoothing_decides(monkeypatch):
-    lone = f"<div><a>x</a></div><div>{PROSE * 2}</div><div><a>y</a></div>" + f"<div><ul>{MENU}</ul></div>"
+    lone = f"<div><a>x</a></div><div>{(PROSE * 2)[:150]}</div><div><a>y</a></div>" + f"<div><ul>{MENU}</ul></div>"
     page = f"<body><div><a>w</a></div><div><ul>{MENU}</ul></div>{lone}<div><p>{PROSE * 3}</p><p>{PROSE * 3}</p><p>{PROSE * 3}</p></div><div><ul>{MENU}</ul></div></body>"
     want = "\n\n".join([(PROSE * 3).strip()] * 3)
     assert html.main_text(page) == want
@@ -47,7 +47,7 @@ def test_gold_pages(page, want):
 def test_deep_and_long_pages_take_time_in_proportion():
     start = time.time()
     assert html.main_text("<div>" * 20_000 + "deep " * 30) == ("deep " * 30).strip()
-    assert html.main_text("<div>x y" * 20_000).count("x y") == 20_000
+    assert html.main_text("<div>" * 2_000 + "<p>x y" * 20_000).count("x y") == 20_000
     assert len(html.main_text(f"<article><p>{PROSE * 20_000}</article>")) == len(PROSE) * 20_000 - 1
     assert time.time() - start < 10
 
