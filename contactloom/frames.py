@@ -8,7 +8,9 @@ to tell distances. ``bins`` are (bin_id, chrom, start, end); ``pixels`` are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STRIDE = 1_000_000
@@ -63,10 +65,18 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it back, so an iteration's plan stays short and survives lost executors."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder all executors share, as spark.checkpoint.dir names it; only where it is unset, as in tests, one in the working directory."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "spark-warehouse/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or f"file://{os.getcwd()}/spark-warehouse/checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, so an iteration's plan stays short and survives lost executors."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -46,18 +46,20 @@ def nb_cdf(x: float, size: float, prob: float) -> float:
     return beta_share(size, x + 1, prob) if x > -1 else 0.0
 
 
-def nb_fit(x: np.ndarray) -> tuple[float, float]:
-    """(size, prob) of the largest likelihood, by Newton steps on log(size) from the moments' size."""
+def nb_fit(x: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float]:
+    """(size, prob) of the largest likelihood of values, each ``weights`` times, by Newton steps on log(size) from the moments' size."""
     x = np.asarray(x, float)
-    if not len(x) or x.mean() <= 0:
+    values, inverse = np.unique(x, return_inverse=True)
+    counts = np.bincount(inverse, weights, len(values)) if len(x) else np.empty(0)
+    n = counts.sum()
+    if not n or (mean := float((values * counts).sum() / n)) <= 0:
         return math.nan, math.nan
-    mean, var = x.mean(), x.var()
+    var = float((counts * (values - mean) ** 2).sum() / n)
     r = mean * mean / (var - mean) if var > mean * 1.0001 else 1e4
-    values, counts = np.unique(x, return_counts=True)
     psi = np.vectorize(_digamma)
 
     def slope(s: float) -> float:
-        return float((counts * (psi(values + s) - psi(s))).sum() + len(x) * math.log(s / (s + mean)))
+        return float((counts * (psi(values + s) - psi(s))).sum() + n * math.log(s / (s + mean)))
 
     t = math.log(r)
     for _ in range(40):
@@ -91,7 +93,12 @@ def fisher(a: float, b: float, c: float, d: float) -> float:
 
 
 def _each(f, *columns: pd.Series) -> pd.Series:
-    return pd.Series([f(*v) if not any(x is None or x != x for x in v) else None for v in zip(*columns, strict=True)], dtype="float64")
+    """``f`` once for each different row of the batch; rows with a missing value give none."""
+    rows = np.stack([np.asarray(c, float) for c in columns], axis=1)
+    different, at = np.unique(rows, axis=0, return_inverse=True)
+    values = [math.nan if np.isnan(r).any() else f(*r) for r in different]
+    out = np.array(values, float)[at.ravel()] if len(rows) else np.empty(0)
+    return pd.Series(out, index=columns[0].index).astype(object).where(~np.isnan(out), None)
 
 
 @pandas_udf(DoubleType())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..frames import STRIDE, bins_per_chrom, chrom_of, dist, intra, mirror, offset_of, small
+from ..frames import STRIDE, bins_per_chrom, chrom_of, cut, dist, intra, mirror, offset_of, small
 from ..functions.stats import fisher_p, nb_cdf, nb_fit, p_of_chi2, p_of_z
 from .intervals import merge, range_join, semi, snap
 
@@ -26,12 +26,23 @@ def rank_sum(values: DataFrame, keys: list[str], side: str = "side", value: str
     return s.where("n1 > 0 AND n2 > 0").select(*keys, "n1", "n2", z.alias("z")).withColumn("p", p_of_z("z"))
 
 
+def running_count(counts: DataFrame, value: str, slices: int = 1024) -> DataFrame:
+    """Adds ``upto``: the sum of ``c`` over the values up to each; ranges of values are summed apart and then follow one another."""
+    cuts = counts.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    slice_ = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slices)).otherwise(0).cast("int")
+    x = counts.crossJoin(F.broadcast(cuts)).withColumn("_s", slice_).drop("_lo", "_hi")
+    parts = x.groupBy("_s").agg(F.sum("c").alias("_t"))
+    before = parts.select("_s", (F.sum("_t").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, 0)) - F.col("_t")).alias("_o"))  # a row per slice
+    own = F.sum("c").over(W.partitionBy("_s").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    return x.withColumn("_own", own).join(F.broadcast(before), "_s").withColumn("upto", F.col("_own") + F.col("_o")).drop("_s", "_own", "_o")
+
+
 def benjamini_hochberg(df: DataFrame, p: str, q: float) -> DataFrame:
     """Adds ``significant``: p up to the largest p with p <= q * rank / n. Equal p are counted before they are ranked."""
     c = df.groupBy(p).agg(F.count(F.lit(1)).alias("c"))
     total = df.agg(F.count(F.lit(1)).alias("n"))
-    ranked = c.withColumn("rank", F.sum("c").over(W.orderBy(p).rowsBetween(W.unboundedPreceding, 0))).crossJoin(F.broadcast(total))
-    limit = ranked.where(F.col(p) <= q * F.col("rank") / F.col("n")).agg(F.max(p).alias("limit"))
+    ranked = running_count(c, p).crossJoin(F.broadcast(total))
+    limit = ranked.where(F.col(p) <= q * F.col("upto") / F.col("n")).agg(F.max(p).alias("limit"))
     return df.crossJoin(F.broadcast(limit)).withColumn("significant", F.coalesce(F.col(p) <= F.col("limit"), F.lit(False))).drop("limit")
 
 
@@ -62,31 +73,44 @@ def deltas(scores: DataFrame, reach: int = 10) -> DataFrame:
 
 
 def valleys(scores: DataFrame, look: int = 4, delta: float = 0.0) -> DataFrame:
-    """(bin_id, score, kind): peaks and valleys of each chromosome by a scan with look-ahead; the first of each is not kept.
+    """(bin_id, score, kind): peaks and valleys by turns, from a scan that looks ahead and starts anew in each chromosome.
 
-    A sequential scan has a state, so each chromosome's scores are one group: a row per bin, bounded by the genome.
+    The look ahead reaches into the next chromosome; the genome's last ``look`` rows are
+    not scanned, and the first place found in the genome is not kept. A sequential scan has a
+    state, so each chromosome's scores are one group: a row per bin, bounded by the genome.
     """
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("bin_id")
-        y, ids = x["score"].to_numpy(), x["bin_id"].to_numpy()
-        found: dict[str, list[int]] = {"peak": [], "valley": []}
-        high = low = None
-        for k in range(max(0, len(y) - look)):
-            if high is None or y[k] > y[high]:
-                high = k
-            if low is None or y[k] < y[low]:
-                low = k
+    x = scores.select("bin_id", "score", chrom_of("bin_id").alias("chrom"))
+    names = [r[0] for r in x.select("chrom").distinct().orderBy("chrom").collect()]  # chromosomes
+    if not names:
+        return x.select("bin_id", "score", F.lit("").alias("kind"))
+    # the first rows of a chromosome also follow the one before it
+    order = F.broadcast(scores.sparkSession.createDataFrame(list(zip(names[1:], names[:-1], strict=True)), "chrom bigint, before bigint"))
+    head = x.withColumn("_k", F.row_number().over(W.partitionBy("chrom").orderBy("bin_id"))).where(F.col("_k") <= look).join(order, "chrom")
+    rows = x.withColumn("tail", F.lit(False)).union(head.select("bin_id", "score", F.col("before").alias("chrom"), F.lit(True)))
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["tail", "bin_id"])
+        y, ids, own = t["score"].to_numpy(), t["bin_id"].to_numpy(), int((~t["tail"]).sum())
+        found = []
+        high = low = 0
+        top, bottom, wanted = -np.inf, np.inf, None
+        for k in range(min(own, max(0, len(y) - look)) if own == len(y) else own):
+            if y[k] > top:
+                top, high = y[k], k
+            if y[k] < bottom:
+                bottom, low = y[k], k
             ahead = y[k : k + look]
-            if high is not None and y[k] < y[high] - delta and np.isfinite(y[high]) and ahead.max() < y[high]:
-                found["peak"].append(high)
-                high = low = k
-            elif low is not None and y[k] > y[low] + delta and np.isfinite(y[low]) and ahead.min() > y[low]:
-                found["valley"].append(low)
-                high = low = k
-        rows = [(ids[k], y[k], kind) for kind, at in found.items() for k in at[1:]]
-        return pd.DataFrame(rows, columns=["bin_id", "score", "kind"])
+            if wanted != "valley" and y[k] < top - delta and ahead.max() < top:
+                found.append((ids[high], y[high], "peak", k))
+                top, bottom, low, wanted = y[k], y[k], k, "valley"
+            elif wanted != "peak" and y[k] > bottom + delta and ahead.min() > bottom:
+                found.append((ids[low], y[low], "valley", k))
+                top, bottom, high, wanted = y[k], y[k], k, "peak"
+        return pd.DataFrame([(*f, int(t["chrom"].iloc[0])) for f in found], columns=["bin_id", "score", "kind", "at", "chrom"])
 
-    return scores.groupBy(chrom_of("bin_id").alias("chrom")).applyInPandas(run, "bin_id bigint, score double, kind string")
+    hits = rows.groupBy("chrom").applyInPandas(run, "bin_id bigint, score double, kind string, at bigint, chrom bigint")
+    first = hits.agg(F.min(F.struct("chrom", "at")).alias("first"))
+    return hits.crossJoin(F.broadcast(first)).where(F.struct("chrom", "at") != F.col("first")).select("bin_id", "score", "kind")
 
 
 def domains_of(boundaries: DataFrame) -> DataFrame:
@@ -203,10 +227,15 @@ def validate_loops(loops: DataFrame, peaks: DataFrame, size: int) -> DataFrame:
 
 
 # -- compartments ------------------------------------------------------------------------
-def eigenvectors(pixels: DataFrame, bins: DataFrame, k: int = 2) -> DataFrame:
+#: Bins of a chromosome up to which its dense matrix is one task's: half a GB of doubles.
+DENSE = 8192
+
+
+def eigenvectors(pixels: DataFrame, bins: DataFrame, k: int = 2, dense: int = DENSE) -> DataFrame:
     """(bin_id, k, value): leading eigenvectors of the covariance of each chromosome, the largest entry positive.
 
-    Dense algebra on one chromosome at a time: at most the square of its bins.
+    Chromosomes of up to ``dense`` bins are solved by dense algebra, one a task; longer
+    ones by power iteration, with sparse products over the whole cluster.
     """
     from .matrix import obs_exp
 
@@ -225,13 +254,57 @@ def eigenvectors(pixels: DataFrame, bins: DataFrame, k: int = 2) -> DataFrame:
             out.append(pd.DataFrame({"bin_id": int(t["chrom"].iloc[0]) * STRIDE + np.arange(m), "k": j + 1, "value": v}))
         return pd.concat(out)
 
-    return x.groupBy("chrom").applyInPandas(run, "bin_id bigint, k int, value double")
+    out = x.where(F.col("n") <= dense).groupBy("chrom").applyInPandas(run, "bin_id bigint, k int, value double")
+    if n.where(F.col("n") > dense).limit(1).count() == 0:
+        return out
+    long = cut(x.where(F.col("n") > dense).select("bin1", "bin2", "value", "chrom", "n"))
+    every = bins.join(F.broadcast(n.where(F.col("n") > dense)), "chrom").select("bin_id", "chrom", "n")
+    found: list[DataFrame] = []
+    for j in range(k):
+        found.append(cut(_power(long, every, found, j + 1)))
+        out = out.union(found[-1].select("bin_id", F.lit(j + 1).alias("k"), "value"))
+    return out
+
+
+def _power(cells: DataFrame, every: DataFrame, before: list[DataFrame], seed: int, rounds: int = 200, tolerance: float = 1e-7) -> DataFrame:
+    """(bin_id, chrom, value): the leading eigenvector per chromosome of the rows' covariance, orthogonal to those ``before``."""
+    mean = cut(every.join(cells.groupBy(F.col("bin1").alias("bin_id")).agg(F.sum("value").alias("t")), "bin_id", "left").select("bin_id", "chrom", (F.coalesce("t", F.lit(0.0)) / F.col("n")).alias("m")))
+
+    def times(v: DataFrame) -> DataFrame:
+        """(bin_id, value): the symmetric matrix of cells times v."""
+        s = cells.join(small(v.select(F.col("bin_id").alias("bin2"), F.col("value").alias("v"))), "bin2").groupBy(F.col("bin1").alias("bin_id")).agg(F.sum(F.col("value") * F.col("v")).alias("s"))
+        return every.select("bin_id", "chrom").join(s, "bin_id", "left").select("bin_id", "chrom", F.coalesce("s", F.lit(0.0)).alias("value"))
+
+    def per_chrom(x: DataFrame, name: str, what: Column) -> DataFrame:
+        return F.broadcast(x.groupBy("chrom").agg(F.sum(what).alias(name)))  # a row per chromosome
+
+    def scaled(v: DataFrame) -> DataFrame:
+        for w in before:
+            both = v.join(w.select("bin_id", F.col("value").alias("w")), "bin_id")
+            v = both.join(per_chrom(both, "p", F.col("value") * F.col("w")), "chrom").select("bin_id", "chrom", (F.col("value") - F.col("p") * F.col("w")).alias("value"))
+        v = v.join(per_chrom(v, "q", F.col("value") * F.col("value")), "chrom")
+        return v.select("bin_id", "chrom", F.when(F.col("q") > 0, F.col("value") / F.sqrt("q")).otherwise(0.0).alias("value"))
+
+    v = cut(scaled(every.select("bin_id", "chrom", (F.pmod(F.xxhash64("bin_id", F.lit(seed)), F.lit(2001)) / 1000 - 1).alias("value"))))
+    for _ in range(rounds):
+        # (A - m 1')(A - m 1')' v = A u - m (1' u) with u = A v - (m' v) 1
+        both = v.join(mean.select("bin_id", "m"), "bin_id")
+        u = times(v).join(per_chrom(both, "mv", F.col("value") * F.col("m")), "chrom").select("bin_id", "chrom", (F.col("value") - F.col("mv")).alias("value"))
+        u = cut(u)
+        y = times(u).join(mean.select("bin_id", "m"), "bin_id").join(per_chrom(u, "su", F.col("value")), "chrom")
+        new = cut(scaled(y.select("bin_id", "chrom", (F.col("value") - F.col("m") * F.col("su")).alias("value"))))
+        off = new.join(v.select("bin_id", F.col("value").alias("old")), "bin_id").agg(F.max(F.abs(F.col("value") - F.col("old")))).first()[0]
+        v = new
+        if off is None or off < tolerance:
+            break
+    top = v.groupBy("chrom").agg(F.max_by("value", F.abs("value")).alias("top"))
+    return v.join(F.broadcast(top), "chrom").select("bin_id", "chrom", (F.col("value") * F.signum("top")).alias("value"))
 
 
 def flip_sign(track: DataFrame, density: DataFrame) -> DataFrame:
     """A track (bin_id, value), negated in the chromosomes where it falls as ``density`` (bin_id, n) grows."""
     x = track.join(density, "bin_id", "left").withColumn("chrom", chrom_of("bin_id")).withColumn("n", F.coalesce("n", F.lit(0)))
-    r = x.groupBy("chrom").agg(F.corr("value", "n").alias("r"))
+    r = x.groupBy("chrom").agg(F.covar_pop("value", "n").alias("r"))  # the sign of the correlation, where it has one
     return x.join(F.broadcast(r), "chrom").select("bin_id", F.when(F.col("r") < 0, -F.col("value")).otherwise(F.col("value")).alias("value"))
 
 
@@ -266,11 +339,15 @@ def correlation(a: DataFrame, b: DataFrame, log1p: bool = False, method: str = "
     if log1p:
         x = x.select(F.log1p("x").alias("x"), F.log1p("y").alias("y"))
     if method == "spearman":
+        # equal pairs of values become one row with a weight, so a frequent value is joined once
+        t = x.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
         for c in ("x", "y"):
-            t = x.groupBy(c).agg(F.count(F.lit(1)).alias("c"))
-            ranks = t.select(c, (F.sum("c").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, 0)) - (F.col("c") - 1) / 2).alias("rank_" + c))
-            x = x.join(ranks, c)
-        x = x.select(F.col("rank_x").alias("x"), F.col("rank_y").alias("y"))
+            ranks = running_count(t.groupBy(c).agg(F.sum("w").alias("c")), c)
+            t = t.join(ranks.select(c, (F.col("upto") - (F.col("c") - 1) / 2).alias("rank_" + c)), c)
+        w, a, b = F.col("w"), F.col("rank_x"), F.col("rank_y")
+        m = t.agg(F.sum("w").alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.sum(w * a * b).alias("ab"))
+        low = F.sqrt((F.col("aa") - F.col("a") ** 2 / F.col("n")) * (F.col("bb") - F.col("b") ** 2 / F.col("n")))
+        return m.select(F.col("n").alias("n"), F.when(low > 0, (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / low).alias("r"))
     return x.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
 
 
@@ -329,7 +406,7 @@ def background(profile: DataFrame, truncate_zeros: bool = False) -> DataFrame:
     c = x.groupBy("rel_pos", F.floor("raw").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.sum("relative").alias("s"))
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        size, prob = nb_fit(np.repeat(t["v"].to_numpy(), t["c"].to_numpy()))
+        size, prob = nb_fit(t["v"].to_numpy(), t["c"].to_numpy())
         return pd.DataFrame({"rel_pos": [t["rel_pos"].iloc[0]], "size": size, "prob": prob, "most": float(t["v"].max()), "mean": t["s"].sum() / t["c"].sum()})
 
     return c.groupBy("rel_pos").applyInPandas(run, "rel_pos bigint, size double, prob double, most double, mean double")
@@ -376,12 +453,14 @@ def boundary_features(pixels: DataFrame, bins: DataFrame, half: int, fill: float
 
 
 def train_boundaries(features: DataFrame, labels: DataFrame, seed: int = 7, trees: int = 20):
-    """A forest of (bin_id, features) against (bin_id) of boundaries, the other class sampled down to their number."""
+    """A forest of (bin_id, features) against (bin_id) of boundaries, the other class sampled down to their number; none without both classes."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     x = features.join(labels.select("bin_id").distinct().withColumn("label", F.lit(1.0)), "bin_id", "left").na.fill(0.0, ["label"])
     n = {r["label"]: r["n"] for r in x.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    if len(n) < 2:
+        return None
     x = x.sampleBy("label", {1.0: 1.0, 0.0: min(1.0, n.get(1.0, 0) / max(1, n.get(0.0, 0)))}, seed)
     return RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=6).fit(x.withColumn("features", array_to_vector("features")))
 
@@ -389,5 +468,7 @@ def train_boundaries(features: DataFrame, labels: DataFrame, seed: int = 7, tree
 def predict_boundaries(model, features: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
+    if model is None:
+        return features.select("bin_id", F.lit(0).alias("boundary"))
     return model.transform(features.withColumn("features", array_to_vector("features"))).select("bin_id", F.col("prediction").cast("int").alias("boundary"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..frames import STRIDE, bins_per_chrom, chrom_of, cut, dist, intra, mirror, small, upper
+from ..frames import STRIDE, bins_per_chrom, chrom_of, cut, dist, intra, mirror, offset_of, small, upper
 
 
 # -- distances ---------------------------------------------------------------------------
@@ -70,21 +72,53 @@ def marginals(pixels: DataFrame) -> DataFrame:
     return mirror(pixels).groupBy(F.col("bin1").alias("bin_id")).agg(F.sum("value").alias("total"))
 
 
-def row_products(pixels: DataFrame) -> DataFrame:
-    """(bin1, bin2, s): products of rows over the columns both have, one chromosome's cells at a time; s(k, l) = sum v_ki v_li."""
-    m = mirror(pixels.where(intra()))
-    a, b = m.toDF("bin1", "k", "v"), m.toDF("bin2", "k", "w")
-    return a.join(b, "k").where("bin1 <= bin2").groupBy("bin1", "bin2").agg(F.sum(F.col("v") * F.col("w")).alias("s"))
+TILE = 256
+
+
+def row_products(pixels: DataFrame, bins: DataFrame, tile: int = TILE) -> DataFrame:
+    """(bin1, bin2, s) with s(k, l) = sum v_ki v_li, zeros left out, one chromosome's cells at a time.
+
+    A blocked product: three tiles of at most ``tile`` squared cells meet in a task,
+    whatever the degree of a bin, and a task gives sums, not terms.
+    """
+    m = mirror(pixels.where(intra())).withColumn("chrom", chrom_of("bin1")).join(F.broadcast(bins_per_chrom(bins)), "chrom")
+    at = lambda c: F.floor(offset_of(c) / tile).cast("int")
+    every = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / tile).cast("int"))
+    own = m.withColumn("own", at("bin1")).withColumn("k", at("bin2")).withColumn("other", F.explode(every))
+    left = own.where("own <= other").select("chrom", F.col("own").alias("i"), F.col("other").alias("j"), "k", F.lit(True).alias("left"), "bin1", "bin2", "value")
+    right = own.where("other <= own").select("chrom", F.col("other").alias("i"), F.col("own").alias("j"), "k", F.lit(False).alias("left"), "bin1", "bin2", "value")
+
+    def run(t: pa.Table) -> pa.Table:
+        c, i, j, k = (t.column(x)[0].as_py() for x in ("chrom", "i", "j", "k"))
+        left, row, col, v = (t.column(x).to_numpy() for x in ("left", "bin1", "bin2", "value"))
+        a, b = np.zeros((tile, tile)), np.zeros((tile, tile))
+        base = c * STRIDE
+        a[row[left] - base - i * tile, col[left] - base - k * tile] = v[left]
+        b[row[~left] - base - j * tile, col[~left] - base - k * tile] = v[~left]
+        s = a @ b.T
+        x, y = np.nonzero(s)
+        x_, y_ = base + i * tile + x, base + j * tile + y
+        ok = x_ <= y_
+        return pa.table({"bin1": x_[ok], "bin2": y_[ok], "s": s[x, y][ok]})
+
+    parts = left.union(right).groupBy("chrom", "i", "j", "k").applyInArrow(run, "bin1 bigint, bin2 bigint, s double")
+    return parts.groupBy("bin1", "bin2").agg(F.sum("s").alias("s"))
 
 
 def covariance(pixels: DataFrame, bins: DataFrame, pearson: bool = False) -> DataFrame:
-    """Row-row covariance (n - 1) or correlation within chromosomes, absent cells as zero; only cells some product reaches and the rest from means."""
-    r = small(mirror(pixels.where(intra())).groupBy("bin1").agg(F.sum("value").alias("t"), F.sum(F.col("value") * F.col("value")).alias("q")))
-    n = F.broadcast(bins_per_chrom(bins))
-    x = row_products(pixels).join(r.toDF("bin1", "t1", "q1"), "bin1").join(r.toDF("bin2", "t2", "q2"), "bin2").withColumn("chrom", chrom_of("bin1")).join(n, "chrom")
+    """Row-row covariance (n - 1) or correlation of all bin pairs within chromosomes, absent cells as zero; a correlation with a constant row is 0.
+
+    The result is dense, as its definition is: bins of a chromosome squared over two rows.
+    """
+    n = bins_per_chrom(bins)
+    r = mirror(pixels.where(intra())).groupBy(F.col("bin1").alias("bin_id")).agg(F.sum("value").alias("t"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    every = bins.select("bin_id", "chrom").join(r, "bin_id", "left").na.fill(0.0, ["t", "q"])
+    a, b = every.toDF("bin1", "chrom", "t1", "q1"), every.toDF("bin2", "chrom", "t2", "q2")
+    pairs = a.join(small(b), "chrom").where("bin1 <= bin2").join(F.broadcast(n), "chrom")  # n: a row per chromosome
+    x = pairs.join(row_products(pixels, bins), ["bin1", "bin2"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     top = F.col("s") - F.col("t1") * F.col("t2") / F.col("n")
-    low = F.sqrt((F.col("q1") - F.col("t1") ** 2 / F.col("n")) * (F.col("q2") - F.col("t2") ** 2 / F.col("n")))
-    value = F.when(low > 1e-12, top / low).otherwise(0.0) if pearson else top / (F.col("n") - 1)
+    low = F.sqrt(F.greatest(F.lit(0.0), F.col("q1") - F.col("t1") ** 2 / F.col("n")) * F.greatest(F.lit(0.0), F.col("q2") - F.col("t2") ** 2 / F.col("n")))
+    value = F.when(low > 1e-9, top / low).otherwise(0.0) if pearson else F.when(F.col("n") > 1, top / (F.col("n") - 1))
     return x.select("bin1", "bin2", value.alias("value"))
 
 
@@ -239,3 +273,13 @@ def balance(pixels: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> Da
         if off is None or off < tolerance:
             break
     return bias
+
+
+def converted(pixels: DataFrame, weights: DataFrame, divide: bool = False, integers: bool = False, chrom: int | None = None) -> DataFrame:
+    """Pixels with the correction of (bin_id, weight) applied by product or division, whole numbers or one chromosome if asked for."""
+    px = pixels if chrom is None else pixels.where((chrom_of("bin1") == chrom) & (chrom_of("bin2") == chrom))
+    w = small(weights.select("bin_id", "weight"))
+    x = px.join(w.toDF("bin1", "x"), "bin1").join(w.toDF("bin2", "y"), "bin2")
+    both = F.col("x") * F.col("y")
+    v = F.col("value") / both if divide else F.col("value") * both
+    return x.select("bin1", "bin2", (F.round(v) if integers else v).alias("value"))

@@ -134,3 +134,32 @@ def coverage(pairs: DataFrame, size: int, step: int = 10) -> DataFrame:
     subs = hits.select("c", F.explode(F.sequence(F.floor(F.col("p") / step), F.floor((F.col("p") + F.col("n") - 1) / step))).alias("s"), "w")
     per = subs.groupBy("c", "s").agg(F.sum("w").alias("w"))
     return per.groupBy(bin_of("c", F.col("s") * step, size).alias("bin_id")).agg(F.max("w").alias("extra"))
+
+
+def reflagged(pairs: DataFrame) -> DataFrame:
+    """Pairs with SAM flags set anew: paired (1), reverse (16), first (64) and second (128) mate."""
+    flag = lambda k, mate: (F.when(F.col(f"rev{k}"), 16).otherwise(0) + 1 + mate).cast("bigint")
+    return pairs.withColumns({"flag1": flag(1, 64), "flag2": flag(2, 128)})
+
+
+def test_run(pairs: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The first rows alone, for a quick look at the counters."""
+    return pairs.limit(rows)
+
+
+def qc_fractions(counters: DataFrame) -> DataFrame:
+    """(part, key, n, fraction) of a counter row: mapping and distance of all, orientation of pairs within chromosomes."""
+    of = {
+        "mapping": (("accepted", "low_quality", "not_unique", "unmapped"), F.col("sequenced")),
+        "discarded": (("duplicates",), F.col("usable")),
+        "distance": (("different_chromosome", "short_range", "long_range"), F.col("accepted")),
+        "orientation": (("inward", "outward", "same_strand_left", "same_strand_right"), F.col("inward") + F.col("outward") + F.col("same_strand_left") + F.col("same_strand_right")),
+    }
+    rows = [F.struct(F.lit(part).alias("part"), F.lit(k).alias("key"), F.col(k).alias("n"), F.when(low > 0, F.col(k) / low).alias("fraction")) for part, (keys, low) in of.items() for k in keys]
+    return counters.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def without_dangling(pairs: DataFrame, end: str, library: int = LIBRARY) -> DataFrame:
+    """Pairs without the near inward ones of which a mate begins or ends in the sequence a cut leaves; needs seq1 and seq2."""
+    near = (orientation() == "inward") & (F.abs(F.col("pos1") - F.col("pos2")) < library)
+    return pairs.where(~(near & (dangling(F.col("seq1"), F.col("rev1"), end) | dangling(F.col("seq2"), F.col("rev2"), end))))

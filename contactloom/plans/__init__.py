@@ -1,3 +1,3 @@
 """Registered queries of the engine, each with a DuckDB statement where SQL can express it."""
 
-from . import features, matrices, pairs_bins  # noqa: F401
+from . import chains, features, matrices, pairs_bins, text  # noqa: F401

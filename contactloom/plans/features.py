@@ -112,24 +112,14 @@ def differential_domains(spark, d):
     return _r(X.differential_domains(a, b, T.domains(spark, d), T.BIN).drop("p"), "z")
 
 
-@register("domain_peak_filter", sql("""SELECT a.id, max(b.score) AS score FROM iv a JOIN (SELECT * FROM iv WHERE id % 3 = 0) b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" WHERE a.id % 10 = 1 GROUP BY 1 HAVING max(b.score) > 60""", "iv"))
+@register("domain_peak_filter", sql("""SELECT a.id, max(b.score) AS score FROM iv a JOIN iv b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" GROUP BY 1 HAVING max(b.score) > 60""", "iv"))
 def domain_peak_filter(spark, d):
-    iv = T.intervals(spark, d)
-    return _peaked(iv.where("id % 10 = 1"), iv.where("id % 3 = 0"))
-
-
-def _peaked(domains, peaks):
+    """Every interval against every interval as a peak."""
     from ..operators.intervals import range_join
 
-    x = range_join(domains.select("chrom", "start", "end", "id"), peaks.select("chrom", "start", "end", "score"), 1000)
-    return x.groupBy(F.col("l.id").alias("id")).agg(F.max("r.score").alias("score")).where("score > 60")
-
-
-@register("domain_peak_filter_all")
-def domain_peak_filter_all(spark, d):
-    """Every interval against every interval as a peak; the statement of ``domain_peak_filter`` covers a subset only."""
     iv = T.intervals(spark, d)
-    return _peaked(iv, iv)
+    x = range_join(iv.select("chrom", "start", "end", "id"), iv.select("chrom", "start", "end", "score"), 1000)
+    return x.groupBy(F.col("l.id").alias("id")).agg(F.max("r.score").alias("score")).where("score > 60")
 
 
 _RATIO = "SELECT bin1, bin2, value, value / e AS ratio FROM intra JOIN (SELECT d, sum(value) / count(*) AS e FROM intra GROUP BY 1) USING (d) WHERE d BETWEEN 1 AND 30"
@@ -168,15 +158,13 @@ def loops_fitted(spark, d):
     return X.local_maxima(_candidates(spark, d, p=0.2)[1])
 
 
-_LOOPS = """SELECT chrom AS chrom1, start AS start1, start + 1000 AS end1, chrom AS chrom2, start + 20000 AS start2, start + 20000 + 500 * (1 + id % 7) AS end2, id FROM iv WHERE id % 7 = 0"""
-
-
 def _loops(spark, d):
-    return _loops_of(T.intervals(spark, d).where("id % 7 = 0"))
+    """A loop of every interval."""
+    iv = T.intervals(spark, d)
+    return iv.select(F.col("chrom").alias("chrom1"), F.col("start").alias("start1"), (F.col("start") + 1000).alias("end1"), F.col("chrom").alias("chrom2"), (F.col("start") + 20_000).alias("start2"), (F.col("start") + 20_000 + 500 * (1 + F.col("id") % 7)).alias("end2"), "id")
 
 
-def _loops_of(iv):
-    return iv.select(F.col("chrom").alias("chrom1"), F.col("start").alias("start1"), (F.col("start") + 1000).alias("end1"), F.col("chrom").alias("chrom2"), (F.col("start") + 20_000).alias("start2"), (F.col("start") + 20_000 + 500 * (1 + F.col("id") % 7)).alias("end2"), "id")
+_LOOPS = """SELECT chrom AS chrom1, start AS start1, start + 1000 AS end1, chrom AS chrom2, start + 20000 AS start2, start + 20000 + 500 * (1 + id % 7) AS end2, id FROM iv"""
 
 
 @register("merged_loops", sql("""SELECT chrom1, start1, end1, chrom2, start2, end2 FROM o l WHERE NOT EXISTS (SELECT 1 FROM o r WHERE l.chrom1 = r.chrom1 AND l.chrom2 = r.chrom2 AND l.start1 - 2000 < r.end1 AND r.start1 < l.end1 + 2000 AND l.start2 - 2000 < r.end2 AND r.start2 - 2000 < l.end2
@@ -190,19 +178,6 @@ def validated_loops(spark, d):
     return X.validate_loops(_loops(spark, d), T.intervals(spark, d).where("score > 70"), 1000).select("id")
 
 
-@register("merged_loops_all")
-def merged_loops_all(spark, d):
-    """A loop of every interval; the statement of ``merged_loops`` covers a seventh."""
-    return X.merge_loops(_loops_of(T.intervals(spark, d)).drop("id"), 2000)
-
-
-@register("validated_loops_all")
-def validated_loops_all(spark, d):
-    """A loop of every interval; the statement of ``validated_loops`` covers a seventh."""
-    iv = T.intervals(spark, d)
-    return X.validate_loops(_loops_of(iv), iv.where("score > 70"), 1000).select("id")
-
-
 @register("compartment_eigenvectors")
 def eigenvectors(spark, d):
     """No SQL: an eigen decomposition per chromosome, its sign set by the density of reference points."""
@@ -240,7 +215,7 @@ def compartment_saddle(spark, d):
     return _r(_saddle(spark, d), "mean")
 
 
-@register("compartment_polarization", sql("SELECT k, round(sum(mean) FILTER ((q1 <= k AND q2 <= k) OR (q1 > 10 - k AND q2 > 10 - k)) / sum(mean) FILTER ((q1 <= k AND q2 > 10 - k) OR (q1 > 10 - k AND q2 <= k)), 6) AS ratio FROM s, (SELECT unnest(range(1, 10)) AS k) GROUP BY 1", *PX, "intra", "track", q=_QS, oe=_OE, s=_SADDLE))
+@register("compartment_polarization", sql("SELECT k, round(sum(mean) FILTER ((q1 <= k AND q2 <= k) OR (q1 > 10 - k AND q2 > 10 - k)) / sum(mean) FILTER ((q1 <= k AND q2 > 10 - k) OR (q1 > 10 - k AND q2 <= k)), 6) AS ratio FROM s, (SELECT unnest(range(1, 10)) AS k) GROUP BY 1 HAVING sum(mean) FILTER ((q1 <= k AND q2 > 10 - k) OR (q1 > 10 - k AND q2 <= k)) > 0", *PX, "intra", "track", q=_QS, oe=_OE, s=_SADDLE))
 def compartment_polarization(spark, d):
     return _r(X.polarization(_saddle(spark, d), _Q), "ratio")
 

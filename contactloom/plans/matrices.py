@@ -53,7 +53,7 @@ def decay(spark, d):
     return _r(M.decay(*_inputs(spark, d), 30, by_chrom=True), "mean")
 
 
-@register("short_long_ratio", sql("SELECT chrom, sum(value) FILTER (d <= 10) AS short, sum(value) FILTER (d > 10) AS long, round(sum(value) FILTER (d <= 10) / sum(value) FILTER (d > 10), 6) AS ratio FROM intra GROUP BY 1", *PX, "intra"))
+@register("short_long_ratio", sql("SELECT chrom, sum(value) FILTER (d <= 10) AS short, sum(value) FILTER (d > 10) AS long, round(sum(value) FILTER (d <= 10) / sum(value) FILTER (d > 10), 6) AS ratio FROM intra GROUP BY 1 HAVING sum(value) FILTER (d > 10) > 0", *PX, "intra"))
 def short_long(spark, d):
     return _r(M.short_long(T.pixels(spark, d), 10), "ratio")
 
@@ -63,12 +63,12 @@ def marginals(spark, d):
     return M.marginals(T.pixels(spark, d))
 
 
-_ROWS = "SELECT a.bin1 AS x, b.bin1 AS y, sum(a.value * b.value) AS s FROM f a JOIN f b ON a.bin2 = b.bin2 AND a.bin1 <= b.bin1 GROUP BY 1, 2"
-_MOM = "SELECT bin1 AS b, sum(value) AS t, sum(value * value) AS q FROM f GROUP BY 1"
+_CELLS = "SELECT x.bin_id AS bin1, y.bin_id AS bin2, k.bin_id AS k, x.chrom, n FROM bins x JOIN bins y ON x.chrom = y.chrom AND x.bin_id <= y.bin_id JOIN bins k ON k.chrom = x.chrom JOIN perchrom ON perchrom.chrom = x.chrom"
+_DENSE = "SELECT bin1, bin2, n, sum(a * b) AS s, sum(a) AS t1, sum(b) AS t2, sum(a * a) AS q1, sum(b * b) AS q2 FROM (SELECT c.*, coalesce(u.value, 0) AS a, coalesce(v.value, 0) AS b FROM cells c LEFT JOIN f u ON u.bin1 = c.bin1 AND u.bin2 = k LEFT JOIN f v ON v.bin1 = c.bin2 AND v.bin2 = k) GROUP BY ALL"
 _F = "SELECT * FROM full_px WHERE bin1 // 1000000 = bin2 // 1000000"
-for _name, _v in (("covariance", "(s - u.t * v.t / n) / (n - 1)"), ("pearson", "CASE WHEN sqrt((u.q - u.t * u.t / n) * (v.q - v.t * v.t / n)) > 1e-12 THEN (s - u.t * v.t / n) / sqrt((u.q - u.t * u.t / n) * (v.q - v.t * v.t / n)) ELSE 0 END")):
+for _name, _v in (("covariance", "CASE WHEN n > 1 THEN (s - t1 * t2 / n) / (n - 1) END"), ("pearson", "CASE WHEN sqrt(greatest(0, q1 - t1 * t1 / n) * greatest(0, q2 - t2 * t2 / n)) > 1e-9 THEN (s - t1 * t2 / n) / sqrt((q1 - t1 * t1 / n) * (q2 - t2 * t2 / n)) ELSE 0 END")):
 
-    @register(f"matrix_{_name}", sql(f"SELECT x AS bin1, y AS bin2, round({_v}, 6) AS value FROM p JOIN m u ON u.b = x JOIN m v ON v.b = y JOIN perchrom ON chrom = x // 1000000", *PX, "full_px", *BINS, f=_F, p=_ROWS, m=_MOM))
+    @register(f"matrix_{_name}", sql(f"SELECT bin1, bin2, round({_v}, 6) AS value FROM p", *PX, "full_px", *BINS, f=_F, cells=_CELLS, p=_DENSE))
     def _rows(spark, d, pearson=_name == "pearson"):
         return _r(M.covariance(*_inputs(spark, d), pearson))
 
@@ -177,24 +177,35 @@ def mad_scores(spark, d):
     return _r(M.mad_scores(T.pixels(spark, d)), "z")
 
 
-def _ice_rounds(n: int) -> dict[str, str]:
-    out = {"b0": "SELECT bin1 AS b, 1.0::DOUBLE AS bias FROM full_px GROUP BY 1"}
-    for k in range(n):
-        out[f"s{k}"] = f"SELECT bin1 AS b, sum(value / (x.bias * y.bias)) AS s FROM full_px JOIN b{k} x ON x.b = bin1 JOIN b{k} y ON y.b = bin2 GROUP BY 1"
-        out[f"b{k + 1}"] = f"SELECT b, bias * s / (SELECT avg(s) FROM s{k}) AS bias FROM b{k} JOIN s{k} USING (b)"
-    return out
+@register("ice_bias")
+def ice_bias(spark, d):
+    """No SQL: rounds until no row sum is off the mean by the tolerance; the bound is that of the reference's command line."""
+    return _r(M.ice(T.pixels(spark, d), rounds=500), "bias")
 
 
-@register("ice_bias", sql("SELECT b AS bin_id, round(bias / (SELECT avg(bias) FROM b3), 6) AS bias FROM b3", *PX, "full_px", **_ice_rounds(3)))
-def ice_bias(spark, d):
-    """Three rounds, as many as the statement unrolls."""
-    return _r(M.ice(T.pixels(spark, d), rounds=3, tolerance=0.0), "bias")
+@register("ice_fixed_point", sql("SELECT DISTINCT bin1 AS bin_id, 1.0::DOUBLE AS s FROM full_px", *PX, "full_px"))
+def ice_fixed_point(spark, d):
+    """Row sums of the corrected matrix over their mean: 1 in every bin."""
+    px = T.pixels(spark, d)
+    m = M.marginals(M.apply_bias(px, M.ice(px, rounds=500))).where("total > 0")
+    mean = m.agg(F.avg("total").alias("mean"))
+    return m.crossJoin(F.broadcast(mean)).select("bin_id", F.round(F.col("total") / F.col("mean"), 4).alias("s"))
 
 
-@register("ice_bias_converged")
-def ice_converged(spark, d):
-    """No SQL: rounds until no row sum is off the mean by the tolerance; the bound is that of the reference's command line."""
-    return _r(M.ice(T.pixels(spark, d), rounds=500), "bias")
+@register("ice_per_chromosome", sql("SELECT DISTINCT bin1 AS bin_id, 1.0::DOUBLE AS s FROM full_px WHERE bin1 // 1000000 = bin2 // 1000000", *PX, "full_px"))
+def ice_per_chromosome(spark, d):
+    """Blocks corrected apart: row sums within chromosomes over the mean of their chromosome."""
+    px = T.pixels(spark, d).where(intra())
+    m = M.marginals(M.apply_bias(px, M.ice(px, rounds=500, per_chrom=True))).where("total > 0").withColumn("chrom", F.floor(F.col("bin_id") / 1_000_000))
+    mean = m.groupBy("chrom").agg(F.avg("total").alias("mean"))
+    return m.join(F.broadcast(mean), "chrom").select("bin_id", F.round(F.col("total") / F.col("mean"), 4).alias("s"))  # a row per chromosome
+
+
+@register("balance_fixed_point", sql("SELECT DISTINCT bin1 AS bin_id, 1.0::DOUBLE AS s FROM full_px", *PX, "full_px"))
+def balance_fixed_point(spark, d):
+    """Row sums of the balanced matrix: 1 in every bin."""
+    px = T.pixels(spark, d)
+    return M.marginals(M.apply_bias(px, M.balance(px))).select("bin_id", F.round("total", 4).alias("s"))
 
 
 @register("balanced_matrix")
