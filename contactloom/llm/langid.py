@@ -285,8 +285,8 @@ def _model_of(docs: DataFrame) -> Crf | None:
     return train(training_rows(docs.select("doc_id", "text", "lang", _fold(F.col("doc_id")).alias("fold"))))
 
 
-def _predicted(docs: DataFrame, model: Crf | None, payload: DataFrame, schema: str, text) -> DataFrame:
-    """Appends lang_pred and score to ``payload``; ``text`` takes the texts of a batch."""
+def _predicted(docs: DataFrame, model: Crf | None, payload: DataFrame, schema: str, text, kept: int) -> DataFrame:
+    """Appends lang_pred and score to the first ``kept`` columns of ``payload``; ``text`` takes the texts of a batch."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: the weight table and lexicons
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +306,7 @@ def _predicted(docs: DataFrame, model: Crf | None, payload: DataFrame, schema: s
                 langs += x
                 scores += y
                 k = e
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:kept], "lang_pred", "score"])
 
     return payload.mapInArrow(run, schema)
 
@@ -314,8 +314,7 @@ def _predicted(docs: DataFrame, model: Crf | None, payload: DataFrame, schema: s
 def language(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per document."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(_fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "text")
-    found = _predicted(docs, _model_of(docs), rows, "doc_id bigint, held_out boolean, text string, lang_pred string, score double", lambda b: b.column(2))
-    return found.drop("text")
+    return _predicted(docs, _model_of(docs), rows, "doc_id bigint, held_out boolean, lang_pred string, score double", lambda b: b.column(2), 2)
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -325,7 +324,7 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
         return docs.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))
     payload = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # packed, so that names cannot clash
     schema = f"row {row_type(docs)}, lang_pred string, score double"
-    found = _predicted(docs, model, payload, schema, lambda b: b.column(0).field("text"))
+    found = _predicted(docs, model, payload, schema, lambda b: b.column(0).field("text"), 1)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
