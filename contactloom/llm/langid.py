@@ -41,7 +41,7 @@ PER_LANG, MOST_CHARS, LEXICON = 100, 6000, 300
 ROUNDS, RATE, DECAY = 25, 0.15, 1e-4
 #: Words of a spliced text, and of its stretches of one language by turns.
 SPLICED, STRETCHES = 60, (9, 4, 12, 6, 3, 8)
-CACHE_WORDS, CHUNK = 200_000, 500_000
+CACHE_WORDS, CHUNK = 200_000, 2_000_000
 UNKNOWN = "und"
 
 
@@ -64,6 +64,7 @@ class Crf:
         self.langs, self.lexicons = langs, lexicons
         self.weights = np.zeros((TABLE, len(langs)), np.float32)
         self.moves = np.zeros((len(langs), len(langs)))
+        self.words: Words | None = None
 
     def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The features of all words one after another, and where each word's begin."""
@@ -223,7 +224,7 @@ def _fold(doc_id: Column) -> Column:
 
 
 class Words:
-    """What a task has found about words: their numbers and emissions, ``CACHE_WORDS`` at most or those of one batch."""
+    """What a worker has found about words: their numbers and emissions, ``CACHE_WORDS`` at most or those of one batch."""
 
     def __init__(self, model: Crf):
         self.model, self.known, self.rows = model, {}, np.empty((4096, len(model.langs)))
@@ -291,7 +292,9 @@ def _predicted(docs: DataFrame, model: Crf | None, payload: DataFrame, schema: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        cache = None if m is None else Words(m)
+        cache = None if m is None else m.words or Words(m)
+        if m is not None:
+            m.words = cache  # goes with the model
         for b in batches:
             column = text(b)
             langs, scores, k = [], [], 0
