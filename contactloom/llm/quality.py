@@ -53,8 +53,9 @@ def _with_places(df: DataFrame) -> DataFrame:
     """Adds ``_p``: the places of the 3-word windows of ``_w`` that occur twice or more.
 
     A window becomes one long, hash bits above and its place below, so that a
-    primitive sort brings equal windows together; neighbours with equal hash
-    bits are compared word by word before they count.
+    primitive sort brings equal windows together; neighbours up to three places
+    off with equal hash bits are compared word by word before they count, so up to
+    two other windows with the same 40 or more bits may lie between two equal ones.
     """
     w, s = F.col("_w"), F.col("_s")
     keys = F.transform(
@@ -72,10 +73,13 @@ def _with_places(df: DataFrame) -> DataFrame:
             same = same & (F.get(w, place(x) + k) == F.get(w, place(y) + k))
         return same
 
-    twice = F.filter(
-        s,
-        lambda x, k: F.coalesce(equal(x, F.get(s, k + 1)), F.lit(False)) | F.coalesce(equal(x, F.get(s, k - 1)), F.lit(False)),
-    )
+    def repeated(x: Column, k: Column) -> Column:
+        found = F.lit(False)
+        for step in (1, -1, 2, -2, 3, -3):
+            found = found | F.coalesce(equal(x, F.get(s, k + step)), F.lit(False))
+        return found
+
+    twice = F.filter(s, repeated)
     return df.withColumn("_p", F.sort_array(F.transform(twice, place)))
 
 
