@@ -3,8 +3,7 @@
 Lines are cut into units behind punctuation, so that a passage joined to other
 text within its first and last line still shares the units between. A "line" below
 is such a unit; its id is a 64-bit hash of the unit without spaces around it. A run
-that begins or ends within a unit loses that unit. Only lines that occur at two
-places or more can lie in a repeated run, so the sequences are the stretches of such lines.
+that begins or ends within a unit loses that unit.
 Prefix doubling names every position by its first 1, 2, 4, ... lines: the name for
 twice as many lines is made of two names for as many as before. Positions of equal
 name are the intervals of the suffix array with that many lines in common. Their
@@ -14,17 +13,17 @@ a run of equal lines around two different ones with equal ids, or 128 equal bits
 
 A run counts if its lines have ``min_words`` words or more, so for each position
 the shortest such run that starts there decides, and the shortest that ends
-there: the interval of all positions that share a run of n lines is given by the
-pair (name of the first 2**k lines, name of the last 2**k), 2**k <= n. All copies
+there: its name is made of the names of 2**k lines that a binary search for its
+length passes. The shortest run that ends at a line is a run from its own start and
+the lines behind, so only starts whose own run repeats are looked at again. All copies
 in an interval but the first in (doc_id, text, line) order are deleted. The union
 of these shortest runs is the union of all maximal repeated runs: a line of a
 maximal run lies in the shortest one from it, or in the shortest one that ends
 with the run. Doubling stops at ``min_words`` lines, which any such run has at most.
 
 Documents with the text of an earlier one are later copies as a whole; their lines
-take no part in the rest. Everything runs on joins, windows and aggregates. Windows
-are over one document, never over a frequent line; aggregates over lines and runs
-are combined before they are shuffled.
+take no part in the rest. Sequences are arrays of one document; everything else
+runs on joins and aggregates, which are combined before they are shuffled.
 
 Defined cases: NULL texts have no lines and stay, an empty text has one without a word;
 lines without a word are no part of runs and stay; rows that repeat a doc_id and text
@@ -34,8 +33,9 @@ table gives no rows; further columns are kept, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, let, stored
@@ -62,12 +62,18 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _word_count(x: Column) -> Column:
-    """Words of a unit that has some, trimmed: a count of single spaces where no other white space is in it."""
-    odd = F.contains(x, F.lit("  "))
-    for c in "\t\r\x0b\x0c":
-        odd = odd | F.contains(x, F.lit(c))
-    return F.when(odd, F.regexp_count(x, F.lit(WORD))).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+def _cut_plain(text: Column) -> Column:
+    """As ``_cut`` but for units without a word, where a text has neither tabs nor marks beyond ASCII: plain replacements, not a pattern."""
+    for c in ".,;:!?":
+        text = F.replace(text, F.lit(f"{c} "), F.lit(f"{c}\n "))
+    return F.split(text, "\n", -1)
+
+
+def _any(text: Column, marks: str | list[str]) -> Column:
+    found = F.lit(False)
+    for c in marks:
+        found = found | F.contains(text, F.lit(c))
+    return found
 
 
 def _has_word(x: Column) -> Column:
@@ -76,11 +82,18 @@ def _has_word(x: Column) -> Column:
     return F.when(F.ascii(trimmed) > 32, True).when(trimmed == "", False).otherwise(x.rlike(WORD))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """d, t (text key), j (number among the lines with a word), h (id), words."""
-    whole = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), _text_key(F.col("text")).alias("t"), F.filter(_cut(F.col("text")), _has_word).alias("u"))
-    rows = whole.select("d", "t", F.posexplode("u").alias("j", "x")).select("d", "t", "j", F.trim("x").alias("x"))
-    return rows.select("d", "t", "j", F.xxhash64("x").alias("h"), _word_count(F.col("x")).cast("int").alias("words"))
+def _sequences(docs: DataFrame) -> DataFrame:
+    """d, t (text key), u: the units with a word, in order, as structs of a and b (both the id) and w (words)."""
+    text = F.col("text")
+    special = _any(text, "\t…。！？；，、")
+    # where all white space within lines is single spaces, spaces count the words
+    odd = _any(text, ["  ", "\t", "\r", "\x0b", "\x0c"])
+    units = F.when(special, _cut(text)).otherwise(_cut_plain(text))
+    trimmed = F.filter(F.transform(units, lambda x: F.trim(x)), lambda x: (F.ascii(x) > 32) | (x != "") & x.rlike(WORD))
+    spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    item = lambda x, o: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x).alias("b"), F.when(o, F.regexp_count(x, F.lit(WORD))).otherwise(spaces(x)).alias("w"))
+    rows = docs.where("text IS NOT NULL")
+    return rows.select(F.col("doc_id").alias("d"), _text_key(text).alias("t"), let(odd, lambda o: F.transform(trimmed, lambda x: item(x, o))).alias("u"))
 
 
 def whole_copies(docs: DataFrame) -> DataFrame:
@@ -91,78 +104,63 @@ def whole_copies(docs: DataFrame) -> DataFrame:
     return rows.join(least, "t").where("d IS NOT NULL AND (f IS NULL OR d > f)").select("d", "t").distinct()
 
 
-def repeated_stretches(docs: DataFrame, later: DataFrame) -> DataFrame:
-    """The lines found at two places or more (d, t, j, words, h), with ``seg``, the stretch of a document they lie in."""
-    lines = _lines(docs)
-    place = F.xxhash64("t", "j")  # the same in whole copies
-    often = lines.groupBy("h").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("h")
-    rep = lines.join(often.hint("shuffle_hash"), "h").join(later, ["d", "t"], "left_anti")
-    doc = W.partitionBy("d", "t").orderBy("j")
-    rep = rep.withColumn("_before", F.lag("j").over(doc)).where("_before IS NULL OR _before <> j").drop("_before")  # repeated rows
-    rep = rep.withColumn("seg", F.col("j") - F.row_number().over(doc))
-    enough = F.sum("words").over(W.partitionBy("d", "t", "seg"))
-    return rep.withColumn("_all", enough)
-
-
-def _windows(rep: DataFrame, min_words: int) -> DataFrame:
-    """Adds ``hi``, the words of the stretch up to and with the line, and ``n``: lines of the shortest run from a position
-    with enough words; ``e``: of the shortest one that ends there."""
-    stretch = W.partitionBy("d", "t", "seg")
-    rep = rep.where(F.col("_all") >= min_words).drop("_all").withColumn("hi", F.sum("words").over(stretch.orderBy("j").rowsBetween(W.unboundedPreceding, 0)))
-    # hi grows along a stretch, so positions with hi >= x start at a bound: a range frame over the sums finds it
-    by_hi = stretch.orderBy("hi")
-    first_at = F.min("j").over(by_hi.rangeBetween(min_words, W.unboundedFollowing))  # first j with hi >= own hi + min_words
-    last_at = F.max("j").over(by_hi.rangeBetween(W.unboundedPreceding, -min_words))  # last j with hi <= own hi - min_words
-    whole = by_hi.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    far = rep.withColumn("_f", first_at).withColumn("_l", last_at).withColumn("_first", F.min("j").over(whole))
-    far = far.withColumn("_start", F.min(F.when(F.col("hi") >= min_words, F.col("j"))).over(whole)).withColumn("_lag", F.lag("_f").over(by_hi))
-    # run from p: least q with hi(q) - lo(p) >= min_words, and lo(p) is the sum before p
-    start = F.when(F.col("j") == F.col("_first"), F.col("_start")).otherwise(F.col("_lag"))
-    end = F.when(F.col("_l").isNotNull(), F.col("_l") + 1).when(F.col("hi") >= min_words, F.col("_first"))
-    return far.select("d", "t", "seg", "j", "h", "hi", (start - F.col("j") + 1).alias("n"), (F.col("j") - end + 1).alias("e"))
-
-
-def _named(rep: DataFrame, min_words: int) -> DataFrame:
-    """Adds ``a``: the names of the first 1, 2, 4, ... lines from each position (of fewer at the end)."""
-    seg = W.partitionBy("d", "t", "seg").orderBy("hi")
-    s, names = 1, [F.col("h")]
-    while 2 * s <= min_words:
-        own = "h" if s == 1 else f"a{s}"
-        rep = rep.withColumn("_next", F.lead(own, s).over(seg)).withColumn(f"a{2 * s}", F.xxhash64(own, "_next")).drop("_next")
-        s *= 2
-        names.append(F.col(f"a{s}"))
-    return rep.select("d", "t", "seg", "j", "n", "e", F.array(*names).alias("a"))
-
-
-def _level(n: str) -> Column:
-    """The largest k with 2**k <= n."""
-    return F.length(F.bin(F.col(n).cast("bigint"))) - 1
+def _joined(x: Column, y: Column) -> list[Column]:
+    """The two names of x with y behind it; they mix their parts in different order."""
+    return [F.xxhash64(x["a"], y["a"]).alias("a"), F.xxhash64(y["b"], x["b"]).alias("b")]
+
+
+def _runs(seqs: DataFrame, min_words: int) -> DataFrame:
+    """d, t, j: for each position the shortest run of ``min_words`` words from it, if the text does not end before: n (lines), a and b (its names),
+    and x, the ids of the lines behind it with which the run is the shortest that ends there.
+
+    The steps are columns, not nested ``let``: the types of nested lambdas are derived anew for each row, twice a level.
+    """
+    top = max((min_words - 1).bit_length() - 1, 0)
+
+    def twice(last: Column, step: int) -> Callable[[Column, Column], Column]:
+        y = lambda i: F.get(last, i + step)
+        return lambda x, i: F.struct(*_joined(x, y(i)), (x["w"] + y(i)["w"]).alias("w"))
+
+    levels = ["u"]  # names and words of 1, 2, 4, ... lines from each position
+    for k in range(top):
+        seqs = seqs.withColumn(f"u{k + 1}", F.transform(levels[-1], twice(F.col(levels[-1]), 1 << k)))
+        levels.append(f"u{k + 1}")
+    zero = F.lit(0).cast("bigint")
+    state = F.transform("u", lambda u, i: F.struct(i.alias("p"), F.lit(0).alias("w"), zero.alias("a"), zero.alias("b")))
+    def further(level: Column, step: int) -> Callable[[Column], Column]:
+        y = lambda s: F.get(level, s["p"])
+        on = lambda s: F.struct((s["p"] + step).alias("p"), (s["w"] + y(s)["w"]).alias("w"), *_joined(s, y(s)))
+        return lambda s: F.when(s["w"] + y(s)["w"] < min_words, on(s)).otherwise(s)
+
+    for k in range(top, -1, -1):  # on by 2**k lines wherever that leaves too few words
+        state = F.transform(state, further(F.col(levels[k]), 1 << k))
+
+    def close(s: Column, i: Column) -> Column:
+        y = F.get(F.col("u"), s["p"])
+        return F.when(s["w"] + y["w"] >= min_words, F.struct((s["p"] - i + 1).alias("n"), *_joined(s, y)))
+
+    def one(r: Column, i: Column) -> Column:
+        # the run from the next position ends where the lines behind i have enough words without i
+        behind = F.greatest(F.coalesce(F.get(F.col("r"), i + 1)["n"], F.size("u") - i) - r["n"], F.lit(0))
+        x = F.transform(F.slice("u", i + r["n"] + 1, behind), lambda u: u["a"])
+        return F.when(r.isNotNull(), F.struct(i.alias("j"), r["n"].alias("n"), r["a"].alias("a"), r["b"].alias("b"), x.alias("x")))
+
+    runs = seqs.select("d", "t", "u", F.transform(state, close).alias("r"))
+    return runs.select("d", "t", F.explode(F.filter(F.transform("r", one), lambda r: r.isNotNull())).alias("r")).select("d", "t", "r.*")
 
 
 def later_copies(docs: DataFrame, later: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t, parts): stretches of lines (their numbers j, both included) that lie in a later copy of a repeated run."""
-    rep = _named(_windows(repeated_stretches(docs, later), min_words), min_words)
-    # positions of a stretch side by side, so that a run finds the name of its last lines
-    side = F.struct("j", "n", "e", _level("n").alias("kn"), _level("e").alias("ke"), "a")
-    rows = rep.groupBy("d", "t", "seg").agg(F.sort_array(F.collect_list(side)).alias("p"))
-
-    def run(p: Column, i: Column, n: Column, k: Column) -> Column:
-        own, last = F.get(p, i), F.get(p, i + n - 1)
-        end = F.get(p, i + n - F.call_function("shiftleft", F.lit(1), k))
-        name = lambda x, k: F.get(x["a"], k)
-        return F.struct(n.alias("n"), own["j"].alias("j"), name(own, k).alias("a"), name(end, k).alias("b"), name(own, F.lit(0)).alias("x"), name(last, F.lit(0)).alias("y"))
-
-    def runs(p: Column) -> Column:
-        own = F.transform(p, lambda x, i: F.when(x["n"].isNotNull(), run(p, i, x["n"], x["kn"])))
-        # the shortest run that ends here, unless it is also the shortest from where it starts
-        back = F.transform(p, lambda x, i: F.when(x["e"].isNotNull() & ~F.get(p, i - x["e"] + 1)["n"].eqNullSafe(x["e"]), run(p, i - x["e"] + 1, x["e"], x["ke"])))
-        return F.filter(F.concat(own, back), lambda x: x.isNotNull())
-
-    at = rows.select(F.col("d").alias("doc"), "t", F.explode(runs(F.col("p"))).alias("r")).select("doc", "t", "r.*")
-    # a key of 128 bits, of two different digests of names and ends
-    at = stored(at.select("doc", "t", "j", "n", F.xxhash64("n", "a", "b").alias("key"), F.xxhash64("b", "x", "n", "y", "a").alias("key2")))
-    first = at.groupBy("key", "key2").agg(F.min(F.struct(F.col("doc"), F.col("t"), F.col("j"))).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    copies = at.join(first, ["key", "key2"]).where(F.struct("doc", "t", "j") > F.col("first"))
+    rows = stored(_runs(_sequences(docs), min_words))
+    place = F.xxhash64("t", "j")  # the same in whole copies
+    often = rows.groupBy("a").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("a")
+    rep = rows.join(often.hint("shuffle_hash"), "a").join(later, ["d", "t"], "left_anti")
+    # a run that ends later is repeated only if the shortest one from its start is; its lines behind that tell it
+    longer = F.transform(F.sequence(F.lit(0), F.size("x")), lambda k: F.struct((F.col("n") + k).alias("n"), F.xxhash64(F.slice("x", 1, k)).alias("key3")))
+    at = rep.select(F.col("d").alias("doc"), "t", "j", F.col("a").alias("key"), F.col("b").alias("key2"), F.explode(longer).alias("r")).select("doc", "t", "j", "key", "key2", "r.*")
+    at = stored(at)
+    first = at.groupBy("key", "key2", "key3").agg(F.min(F.struct(F.col("doc"), F.col("t"), F.col("j"))).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    copies = at.join(first, ["key", "key2", "key3"]).where(F.struct("doc", "t", "j") > F.col("first"))
     parts = copies.groupBy("doc", "t").agg(F.sort_array(F.collect_list(F.struct(F.col("j").alias("from"), (F.col("j") + F.col("n") - 1).alias("to")))).alias("p"))
 
     def merge(acc: Column, x: Column) -> Column:
