@@ -1,29 +1,29 @@
-"""Line dedup over the suffix intervals of line-id sequences, by distributed prefix doubling.
+"""Line dedup over the suffix intervals of line-id sequences, by the names of their shortest counting runs.
 
 Lines are cut into units behind punctuation, so that a passage joined to other
 text within its first and last line still shares the units between. A "line" below
 is such a unit; its id is a 64-bit hash of the unit without spaces around it. A run
 that begins or ends within a unit loses that unit.
-Prefix doubling names every position by its first 1, 2, 4, ... lines: the name for
-twice as many lines is made of two names for as many as before. Positions of equal
-name are the intervals of the suffix array with that many lines in common. Their
-order among each other decides nothing here, so names are 128 hash bits, which need
-no round of their own over all positions, where ranks would. (A false copy would need
-a run of equal lines around two different ones with equal ids, or 128 equal bits.)
-
 A run counts if its lines have ``min_words`` words or more, so for each position
 the shortest such run that starts there decides, and the shortest that ends
-there: its name is made of the names of 2**k lines that a binary search for its
-length passes. The shortest run that ends at a line is a run from its own start and
-the lines behind, so only starts whose own run repeats are looked at again. All copies
-in an interval but the first in (doc_id, text, line) order are deleted. The union
-of these shortest runs is the union of all maximal repeated runs: a line of a
-maximal run lies in the shortest one from it, or in the shortest one that ends
-with the run. Doubling stops at ``min_words`` lines, which any such run has at most.
+there. Positions whose runs have equal names are the intervals of the suffix array with
+that run in common. Their order among each other decides nothing here, so names are 128
+hash bits over the run's line ids, which need no round of their own over all positions,
+where ranks would. (A false copy would need a run of equal lines around two different
+ones with equal ids, or 128 equal bits.) All copies in an interval but the first in
+(doc_id, text, line) order are deleted. The union of these shortest runs is the union of
+all maximal repeated runs: a line of a maximal run lies in the shortest one from it, or
+in the shortest one that ends with the run.
+
+Most positions repeat nothing, so few of them are named. Texts first meet by keys that any
+two texts with a common run share (``_anchors``), only those that share one go on, and
+their sequences are cut where a key is not shared (``_stretches``). No repeated run is
+lost by either. Only documents that lose something, and few others that a table
+of bits of bounded size cannot tell from them, are shuffled with their text.
 
 Documents with the text of an earlier one are later copies as a whole; their lines
 take no part in the rest. Sequences are arrays of one document; everything else
-runs on joins and aggregates, which are combined before they are shuffled.
+runs on joins, aggregates, which are combined before they are shuffled, and windows within one document.
 
 Defined cases: NULL texts have no lines and stay, an empty text has one without a word;
 lines without a word are no part of runs and stay; rows that repeat a doc_id and text
@@ -33,9 +33,7 @@ table gives no rows; further columns are kept, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, let, stored
@@ -46,6 +44,8 @@ _END = r"[.,;:!?…。！？；，、](?:(?=[ \t]+\S)|(?<=[。！？；，、])(
 #: A unit's number is that of its physical line times this, and its place in the line.
 STEP = 1 << 31
 _WHOLE = (1 << 31) - 1
+#: Bits of a place in the tables of bits that tell which documents need no shuffle: 4 MB, whatever the input.
+BITS = 25
 
 
 def _cut(text: Column) -> Column:
@@ -83,7 +83,7 @@ def _has_word(x: Column) -> Column:
 
 
 def _sequences(docs: DataFrame) -> DataFrame:
-    """d, t (text key), u: the units with a word, in order, as structs of a and b (both the id) and w (words)."""
+    """d, t (text key), u: the units with a word, in order, as structs of a (the id) and w (words)."""
     text = F.col("text")
     special = _any(text, "\t…。！？；，、")
     # where all white space within lines is single spaces, spaces count the words
@@ -91,7 +91,7 @@ def _sequences(docs: DataFrame) -> DataFrame:
     units = F.when(special, _cut(text)).otherwise(_cut_plain(text))
     trimmed = F.filter(F.transform(units, lambda x: F.trim(x)), lambda x: (F.ascii(x) > 32) | (x != "") & x.rlike(WORD))
     spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-    item = lambda x, o: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x).alias("b"), F.when(o, F.regexp_count(x, F.lit(WORD))).otherwise(spaces(x)).alias("w"))
+    item = lambda x, o: F.struct(F.xxhash64(x).alias("a"), F.when(o, F.regexp_count(x, F.lit(WORD))).otherwise(spaces(x)).alias("w"))
     rows = docs.where("text IS NOT NULL")
     return rows.select(F.col("doc_id").alias("d"), _text_key(text).alias("t"), let(odd, lambda o: F.transform(trimmed, lambda x: item(x, o))).alias("u"))
 
@@ -104,63 +104,112 @@ def whole_copies(docs: DataFrame) -> DataFrame:
     return rows.join(least, "t").where("d IS NOT NULL AND (f IS NULL OR d > f)").select("d", "t").distinct()
 
 
-def _joined(x: Column, y: Column) -> list[Column]:
-    """The two names of x with y behind it; they mix their parts in different order."""
-    return [F.xxhash64(x["a"], y["a"]).alias("a"), F.xxhash64(y["b"], x["b"]).alias("b")]
-
-
-def _runs(seqs: DataFrame, min_words: int) -> DataFrame:
-    """d, t, j: for each position the shortest run of ``min_words`` words from it, if the text does not end before: n (lines), a and b (its names),
-    and x, the ids of the lines behind it with which the run is the shortest that ends there.
+def _runs(parts: DataFrame, min_words: int) -> DataFrame:
+    """d, t, j, n (lines), a and b (names): for each position the shortest run of ``min_words`` words from it, and the shortest that ends
+    before it if no shortest one from a position is the same; in stretches u of texts from their line o on.
 
-    The steps are columns, not nested ``let``: the types of nested lambdas are derived anew for each row, twice a level.
+    Positions are in order of the words before them, so a run is a frame of ``min_words`` words; for the runs that end before a position, each has the line before it too.
     """
-    top = max((min_words - 1).bit_length() - 1, 0)
+    text = Window.partitionBy("k", "free", "t", "o")
+    end = F.array(F.struct(F.lit(None).cast("bigint").alias("a"), F.lit(0).alias("w")))
+    lines = parts.select("k", "free", "t", "o", "words", F.posexplode(F.concat("u", end)).alias("j", "u")).select("k", "free", "t", "o", "words", (F.col("o") + F.col("j")).alias("j"), "u.a", "u.w")
+    behind = text.orderBy("j")
+    s = F.coalesce(F.sum("w").over(behind.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    lines = lines.select("*", s.alias("s"), F.lag("a").over(behind).alias("pa"), F.lag("w").over(behind).alias("pw"))
+    words = text.orderBy("s")
+    ahead, back = words.rangeBetween(0, min_words - 1), words.rangeBetween(1 - min_words, 0)
+    lines = lines.select(F.when(~F.col("free"), F.col("k")).alias("d"), "t", "j", "s", "pw", "words", F.collect_list("a").over(ahead).alias("x"), F.sum("pw").over(back).alias("v"), F.collect_list("pa").over(back).alias("y"))
 
-    def twice(last: Column, step: int) -> Callable[[Column, Column], Column]:
-        y = lambda i: F.get(last, i + step)
-        return lambda x, i: F.struct(*_joined(x, y(i)), (x["w"] + y(i)["w"]).alias("w"))
+    def run(x: str, j: Column) -> Column:
+        return F.struct(j.alias("j"), F.size(x).alias("n"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))
 
-    levels = ["u"]  # names and words of 1, 2, 4, ... lines from each position
-    for k in range(top):
-        seqs = seqs.withColumn(f"u{k + 1}", F.transform(levels[-1], twice(F.col(levels[-1]), 1 << k)))
-        levels.append(f"u{k + 1}")
-    zero = F.lit(0).cast("bigint")
-    state = F.transform("u", lambda u, i: F.struct(i.alias("p"), F.lit(0).alias("w"), zero.alias("a"), zero.alias("b")))
-    def further(level: Column, step: int) -> Callable[[Column], Column]:
-        y = lambda s: F.get(level, s["p"])
-        on = lambda s: F.struct((s["p"] + step).alias("p"), (s["w"] + y(s)["w"]).alias("w"), *_joined(s, y(s)))
-        return lambda s: F.when(s["w"] + y(s)["w"] < min_words, on(s)).otherwise(s)
+    forth = F.when(F.col("s") + min_words <= F.col("words"), run("x", F.col("j")))
+    other = F.when(F.col("v") - F.col("pw") >= min_words, run("y", F.col("j") - F.size("y")))
+    return lines.select("d", "t", F.explode(F.array_compact(F.array(forth, other))).alias("r")).select("d", "t", "r.*")
 
-    for k in range(top, -1, -1):  # on by 2**k lines wherever that leaves too few words
-        state = F.transform(state, further(F.col(levels[k]), 1 << k))
 
-    def close(s: Column, i: Column) -> Column:
-        y = F.get(F.col("u"), s["p"])
-        return F.when(s["w"] + y["w"] >= min_words, F.struct((s["p"] - i + 1).alias("n"), *_joined(s, y)))
+def _anchors(seqs: DataFrame, min_words: int) -> DataFrame:
+    """t, ``own`` (whether lines repeat within the text as those of a run would) and ``keys``: texts that share a run share a key.
 
-    def one(r: Column, i: Column) -> Column:
-        # the run from the next position ends where the lines behind i have enough words without i
-        behind = F.greatest(F.coalesce(F.get(F.col("r"), i + 1)["n"], F.size("u") - i) - r["n"], F.lit(0))
-        x = F.transform(F.slice("u", i + r["n"] + 1, behind), lambda u: u["a"])
-        return F.when(r.isNotNull(), F.struct(i.alias("j"), r["n"].alias("n"), r["a"].alias("a"), r["b"].alias("b"), x.alias("x")))
-
-    runs = seqs.select("d", "t", "u", F.transform(state, close).alias("r"))
-    return runs.select("d", "t", F.explode(F.filter(F.transform("r", one), lambda r: r.isNotNull())).alias("r")).select("d", "t", "r.*")
+    A run is one line of ``min_words``; or has a long line, of a quarter of them or more, with a neighbour on one side; or
+    five short lines or more, so two neighbouring fours of short lines. The keys are such lines, all pairs with a long line and the lesser names of such two fours.
+    """
+    long = -(-min_words // 4)
+    then = lambda x, y, by: x.bitwiseXOR(F.shiftrightunsigned(y, by))
+    near = lambda name, i: F.get(F.col(name), i)
+    few, whole = lambda u: u["w"] < long, lambda u: u["w"] >= min_words
+    df = seqs.select("t", "u")
+    df = df.withColumn("x", F.array_compact(F.transform("u", lambda u, i: F.when(few(u), None).when(whole(u), u["a"]).otherwise(then(u["a"], near("u", i + 1)["a"], 1)))))
+    df = df.withColumn("y", F.array_compact(F.transform("u", lambda u, i: F.when(few(u) | whole(u), None).otherwise(then(near("u", i - 1)["a"], u["a"], 1)))))
+    # NULL where a line of the two, or the four, is long or missing
+    df = df.withColumn("s", F.transform("u", lambda u: F.when(few(u), u["a"]))).drop("u")
+    df = df.withColumn("p", F.transform("s", lambda x, i: then(x, near("s", i + 1), 1)))
+    df = df.withColumn("q", F.transform("p", lambda x, i: then(x, near("p", i + 2), 2))).drop("s", "p")
+    least = F.array_compact(F.transform("q", lambda x, i: F.when(x < near("q", i + 1), x).when(x.isNotNull(), near("q", i + 1))))
+    df = df.withColumn("z", least).withColumn("q", F.array_compact("q"))
+    own = F.lit(False)
+    for c in "xyq":
+        own = own | (F.size(F.array_distinct(c)) < F.size(c))
+    return df.select("t", own.alias("own"), F.array_distinct(F.concat("x", "y", "z")).alias("keys"))
+
+
+def _sharing(docs: DataFrame, min_words: int) -> DataFrame:
+    """t, ``own`` and ``ks`` (the keys that other texts have) of the texts that may have a repeated run."""
+    anchors = stored(_anchors(_sequences(docs), min_words))
+    keys = anchors.select("t", F.explode("keys").alias("key"))
+    often = keys.groupBy("key").agg(F.min("t").alias("p"), F.max("t").alias("q")).where("p <> q").select("key")
+    found = keys.join(stored(often), "key").select("t", "key", F.lit(False).alias("own"))
+    found = found.unionByName(anchors.where("own").select("t", F.lit(None).cast("bigint").alias("key"), "own"))
+    return found.groupBy("t").agg(F.max("own").alias("own"), F.collect_set("key").alias("ks"))
+
+
+def _stretches(seqs: DataFrame, min_words: int) -> DataFrame:
+    """The sequences cut between neighbours whose key no other text has, as no repeated run has both: o (number of the first line), u and ``words``; only those with words enough.
+
+    Texts that repeat lines of their own stay whole.
+    """
+    long = -(-min_words // 4)
+    mid = lambda u: (u["w"] >= long) & (u["w"] < min_words)
+    then = lambda i: F.get(F.col("u"), i + 1)
+    alone = lambda u, i: (mid(u) | mid(then(i))) & ~F.array_contains("ks", u["a"].bitwiseXOR(F.shiftrightunsigned(then(i)["a"], 1)))
+    size = F.size("u")
+    cut = F.transform("u", lambda u, i: F.when(i + 1 < size, F.when(alone(u, i), i + 1)))
+    df = seqs.withColumn("c", F.when(F.col("own"), F.array(F.lit(0), size)).otherwise(F.concat(F.array(F.lit(0)), F.array_compact(cut), F.array(size))))
+    part = lambda c, k: F.struct(c.alias("o"), F.slice("u", c + 1, F.greatest(F.get(F.col("c"), k + 1) - c, F.lit(0))).alias("u"))
+    df = df.select("k", "free", "t", F.explode(F.transform(F.slice("c", 1, F.size("c") - 1), part)).alias("p")).select("k", "free", "t", "p.*")
+    return df.withColumn("words", F.aggregate("u", F.lit(0), lambda n, u: n + u["w"])).where(F.col("words") >= min_words)
+
+
+def _bits(keys: DataFrame, key: Column) -> DataFrame:
+    """(bucket, bits): one bit of ``1 << BITS`` for each key, a table of bounded size."""
+    place = F.pmod(key, F.lit(1 << BITS))
+    return keys.select(F.shiftright(place, 15).alias("bucket"), (place % (1 << 15)).alias("n")).groupBy("bucket").agg(F.expr("bitmap_construct_agg(n)").alias("bits"))
+
+
+def _may_have(rows: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
+    """``rows`` with ``_may``: false only for keys that are not among those of ``bits``."""
+    place = F.pmod(key, F.lit(1 << BITS))
+    n = place % (1 << 15)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(n / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.floor(byte / F.pow(F.lit(2), n % 8)) % 2 == 1, F.lit(False))
+    found = rows.withColumn("_bucket", F.shiftright(place, 15)).join(F.broadcast(bits), F.col("_bucket") == F.col("bucket"), "left")
+    return found.withColumn("_may", may).drop("_bucket", "bucket", "bits")
 
 
 def later_copies(docs: DataFrame, later: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t, parts): stretches of lines (their numbers j, both included) that lie in a later copy of a repeated run."""
-    rows = stored(_runs(_sequences(docs), min_words))
-    place = F.xxhash64("t", "j")  # the same in whole copies
-    often = rows.groupBy("a").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("a")
-    rep = rows.join(often.hint("shuffle_hash"), "a").join(later, ["d", "t"], "left_anti")
-    # a run that ends later is repeated only if the shortest one from its start is; its lines behind that tell it
-    longer = F.transform(F.sequence(F.lit(0), F.size("x")), lambda k: F.struct((F.col("n") + k).alias("n"), F.xxhash64(F.slice("x", 1, k)).alias("key3")))
-    at = rep.select(F.col("d").alias("doc"), "t", "j", F.col("a").alias("key"), F.col("b").alias("key2"), F.explode(longer).alias("r")).select("doc", "t", "j", "key", "key2", "r.*")
-    at = stored(at)
-    first = at.groupBy("key", "key2", "key3").agg(F.min(F.struct(F.col("doc"), F.col("t"), F.col("j"))).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    copies = at.join(first, ["key", "key2", "key3"]).where(F.struct("doc", "t", "j") > F.col("first"))
+    sharing = stored(_sharing(docs, min_words))
+    text = docs.where("text IS NOT NULL").withColumn("t", _text_key(F.col("text")))
+    name = lambda df: df.withColumn("k", F.coalesce("d", F.lit(0).cast("bigint"))).withColumn("free", F.col("d").isNull()).drop("d")
+    # one document of each text that shares, and its sequence; the rest is not shuffled
+    chosen = name(text.select(F.col("doc_id").alias("d"), "t").distinct().join(later, ["d", "t"], "left_anti").join(sharing, "t"))
+    some = _may_have(text, F.col("t"), stored(_bits(sharing, F.col("t")))).where("_may")
+    seqs = name(_sequences(some)).join(chosen, ["k", "free", "t"])
+    seqs = seqs.withColumn("_n", F.row_number().over(Window.partitionBy("k", "free", "t").orderBy("t"))).where("_n = 1")
+    rep = _runs(_stretches(seqs, min_words), min_words)
+    at = stored(rep.withColumnRenamed("d", "doc"))
+    first = stored(at.groupBy("a", "b", "n").agg(F.min(F.struct("doc", "t", "j")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    copies = at.join(first, ["a", "b", "n"]).where(F.struct("doc", "t", "j") > F.col("first"))
     parts = copies.groupBy("doc", "t").agg(F.sort_array(F.collect_list(F.struct(F.col("j").alias("from"), (F.col("j") + F.col("n") - 1).alias("to")))).alias("p"))
 
     def merge(acc: Column, x: Column) -> Column:
@@ -176,14 +225,18 @@ def later_copies(docs: DataFrame, later: DataFrame, min_words: int = MIN_WORDS)
 def _with_gone(docs: DataFrame, min_words: int) -> DataFrame:
     """``_row``, the row as a struct, and ``_left``: NULL, or the text that is left and the lines lost of a document that loses some."""
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    later = whole_copies(plain)
+    later = stored(whole_copies(plain))
     whole = F.array(F.struct(F.lit(0).alias("from"), F.lit(_WHOLE).alias("to")))
-    gone = later_copies(plain, later, min_words).unionByName(later.withColumn("parts", whole))
+    gone = stored(later_copies(plain, later, min_words).unionByName(later.withColumn("parts", whole)))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("d"), _text_key(F.col("text")).alias("t"))
     text, parts = F.col("_row.text"), F.col("parts")
     # a whole copy with too few words for a run stays
     few = (F.get(parts, 0)["to"] == _WHOLE) & (F.regexp_count(text, F.lit(WORD)) < min_words)
-    return rows.join(gone, ["d", "t"], "left").select("_row", F.when(parts.isNotNull() & ~few, let(_units(text), lambda u: _left(u, parts))).alias("_left"))
+    left = F.when(parts.isNotNull() & ~few, let(_units(text), lambda u: _left(u, parts))).alias("_left")
+    # texts that lose nothing need not be shuffled
+    rows = _may_have(rows, F.xxhash64("d", "t"), stored(_bits(gone, F.xxhash64("d", "t"))))
+    met = rows.where("_may").join(gone, ["d", "t"], "left").select("_row", left)
+    return met.unionByName(rows.where("NOT _may").select("_row", F.lit(None).cast(met.schema["_left"].dataType).alias("_left")))
 
 
 def _left(units: Column, parts: Column) -> Column:
@@ -211,7 +264,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text, left = F.col("_row.text"), F.col("_left")
     return df.select(
         "_row.doc_id",
-        F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("bigint").alias("n_lines"),
+        F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size(left["lost"]), F.lit(0)).cast("bigint").alias("n_deleted"),
         F.array_join(left["lost"], ",").alias("deleted"),
         F.when(left.isNull(), text).otherwise(left["text"]).alias("text"),

@@ -32,6 +32,51 @@ def test_passage_joined_to_other_text_goes(spark):
     assert got[2]["text"] == "six seven Ab cd,\n xa xb.*** eight\nend of two" and got[2]["deleted"] == "1"
 
 
+def shuffled(spark):
+    """Bytes that all stages so far wrote to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_that_share_no_run_are_not_shuffled(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: f"{rng.integers(1 << 60):x}"
+    docs = [(k, "\n".join(" ".join(word() for _ in range(n)) for n in rng.integers(1, 25, 60))) for k in range(150)]
+    docs += [(k, docs[k - 150][1].replace("\n", f"\n{k} ", 3)) for k in range(150, 155)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4).localCheckpoint()
+    before = shuffled(spark)
+    got = linedup.line_dedup(df).collect()
+    assert {r["doc_id"] for r in got if r["n_deleted"]} == set(range(150, 155)) and len(got) == 155
+    assert shuffled(spark) - before < sum(len(x) for _, x in docs) / 3
+
+
+def test_runs_of_long_and_short_lines_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    sizes = [1, 1, 1, 2, 3, 5, 8, 12, 13, 14, 20, 25, 36, 37, 49, 50, 60]
+    lines = [" ".join(f"l{k}w{m}" for m in range(n)) for k, n in enumerate(sizes)]
+    seqs = []
+    for k in range(60):  # some take a stretch of an earlier one
+        own = list(rng.integers(0, 3 if k % 5 == 0 else len(sizes), rng.integers(1, 70)))
+        if seqs and k % 2:
+            other = seqs[rng.integers(len(seqs))]
+            own[len(own) // 2 : len(own) // 2] = other[rng.integers(len(other)) :][: rng.integers(1, 60)]
+        seqs.append(own)
+    want = [set() for _ in seqs]
+    for v, b in enumerate(seqs):
+        for u, a in enumerate(seqs[: v + 1]):
+            for j in range(len(a)):
+                for k in range(len(b)):
+                    if (u, j) < (v, k):
+                        n = 0
+                        while j + n < len(a) and k + n < len(b) and a[j + n] == b[k + n]:
+                            n += 1
+                        if sum(sizes[x] for x in b[k : k + n]) >= 50:
+                            want[v] |= set(range(k, k + n))
+    docs = [(k, "\n".join(lines[x] for x in s)) for k, s in enumerate(seqs)]
+    got = {r["doc_id"]: {int(x) for x in r["deleted"].split(",") if x} if r["deleted"] else set() for r in linedup.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert [got[k] for k in range(len(seqs))] == want and sum(map(bool, want)) > 20
+
+
 def test_long_words_count_to_their_end():
     assert set(langid.features("abcdefghijklmnopqrstuvwxyz" * 4 + "qzq" + "z" * 30, [])) != set(langid.features("abcdefghijklmnopqrstuvwxyz" * 4 + "zzz" + "z" * 30, []))
     n = 300
