@@ -18,7 +18,8 @@ in the shortest one that ends with the run.
 Most positions repeat nothing, so few of them are named. Texts first meet by keys that any
 two texts with a common run share (``_anchors``), only those that share one go on, and
 their sequences are cut where a key is not shared (``_stretches``). No repeated run is
-lost by either. Only documents that lose something, and few others that a table
+lost by either. Long blocks of one-word lines within them need no search for the ends of
+runs (``_pieces``). Only documents that lose something, and few others that a table
 of bits of bounded size cannot tell from them, are shuffled with their text.
 
 Documents with the text of an earlier one are later copies as a whole; their lines
@@ -63,10 +64,8 @@ def _text_key(text: Column) -> Column:
 
 
 def _cut_plain(text: Column) -> Column:
-    """As ``_cut`` but for units without a word, where a text has neither tabs nor marks beyond ASCII: plain replacements, not a pattern."""
-    for c in ".,;:!?":
-        text = F.replace(text, F.lit(f"{c} "), F.lit(f"{c}\n "))
-    return F.split(text, "\n", -1)
+    """As ``_cut`` but for units without a word and spaces around units, where a text has neither tabs nor marks beyond ASCII: the pattern looks back at spaces alone."""
+    return F.split(text, r"[ \n](?<=\n|[.,;:!?] )", -1)
 
 
 def _any(text: Column, marks: str | list[str]) -> Column:
@@ -85,7 +84,7 @@ def _has_word(x: Column) -> Column:
 def _sequences(docs: DataFrame) -> DataFrame:
     """d, t (text key), u: the units with a word, in order, as structs of a (the id) and w (words)."""
     text = F.col("text")
-    special = _any(text, "\t…。！？；，、")
+    special = _any(text, "\t") | (F.octet_length(text) != F.length(text)) & _any(text, "…。！？；，、")
     # where all white space within lines is single spaces, spaces count the words
     odd = _any(text, ["  ", "\t", "\r", "\x0b", "\x0c"])
     units = F.when(special, _cut(text)).otherwise(_cut_plain(text))
@@ -96,40 +95,44 @@ def _sequences(docs: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id").alias("d"), _text_key(text).alias("t"), let(odd, lambda o: F.transform(trimmed, lambda x: item(x, o))).alias("u"))
 
 
-def whole_copies(docs: DataFrame) -> DataFrame:
-    """(d, t) of the documents whose text an earlier one has."""
-    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), _text_key(F.col("text")).alias("t"))
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """(d, t) of the documents, of ``rows`` (d, t), whose text an earlier one has."""
     least = rows.groupBy("t").agg(F.min("d").alias("f"), F.max("d").alias("z"), F.count_if(F.col("d").isNull()).alias("free"))
-    least = least.where("z > f OR z IS NOT NULL AND free > 0").select("t", F.when(F.col("free") == 0, F.col("f")).alias("f"))
-    return rows.join(least, "t").where("d IS NOT NULL AND (f IS NULL OR d > f)").select("d", "t").distinct()
+    # tables on both sides of the join, so that a frequent text's rows need not be one task's
+    least = stored(least.where("z > f OR z IS NOT NULL AND free > 0").select("t", F.when(F.col("free") == 0, F.col("f")).alias("f")))
+    return stored(rows.join(least, "t").where("d IS NOT NULL AND (f IS NULL OR d > f)").select("d", "t")).distinct()
 
 
 def _runs(parts: DataFrame, min_words: int) -> DataFrame:
     """d, t, j, n (lines), a and b (names): for each position the shortest run of ``min_words`` words from it, and the shortest that ends
-    before it if no shortest one from a position is the same; in stretches u of texts from their line o on.
+    before it if no shortest one from a position is the same; in pieces u of texts from their line o on.
 
     Positions are in order of the words before them, so a run is a frame of ``min_words`` words; for the runs that end before a position, each has the line before it too.
+    In an ``even`` piece every ``min_words`` lines are a run; it goes along as one row.
     """
-    text = Window.partitionBy("k", "free", "t", "o")
+    text = Window.partitionBy("k", "free", "t", "o", "even")
     end = F.array(F.struct(F.lit(None).cast("bigint").alias("a"), F.lit(0).alias("w")))
-    lines = parts.select("k", "free", "t", "o", "words", F.posexplode(F.concat("u", end)).alias("j", "u")).select("k", "free", "t", "o", "words", (F.col("o") + F.col("j")).alias("j"), "u.a", "u.w")
+    given = ["k", "free", "t", "o", "even", "words", "e"]
+    lines = parts.withColumn("e", F.when(F.col("even"), F.col("u.a")))
+    lines = lines.select(*given, F.posexplode(F.when(F.col("even"), end).otherwise(F.concat("u", end))).alias("j", "u")).select(*given, (F.col("o") + F.col("j")).alias("j"), "u.a", "u.w")
     behind = text.orderBy("j")
     s = F.coalesce(F.sum("w").over(behind.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
     lines = lines.select("*", s.alias("s"), F.lag("a").over(behind).alias("pa"), F.lag("w").over(behind).alias("pw"))
     words = text.orderBy("s")
     ahead, back = words.rangeBetween(0, min_words - 1), words.rangeBetween(1 - min_words, 0)
-    lines = lines.select(F.when(~F.col("free"), F.col("k")).alias("d"), "t", "j", "s", "pw", "words", F.collect_list("a").over(ahead).alias("x"), F.sum("pw").over(back).alias("v"), F.collect_list("pa").over(back).alias("y"))
+    lines = lines.select(F.when(~F.col("free"), F.col("k")).alias("d"), "t", "j", "s", "pw", "even", "words", "e", F.collect_list("a").over(ahead).alias("x"), F.sum("pw").over(back).alias("v"), F.collect_list("pa").over(back).alias("y"))
 
-    def run(x: str, j: Column) -> Column:
+    def run(x: Column, j: Column) -> Column:
         return F.struct(j.alias("j"), F.size(x).alias("n"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))
 
-    forth = F.when(F.col("s") + min_words <= F.col("words"), run("x", F.col("j")))
-    other = F.when(F.col("v") - F.col("pw") >= min_words, run("y", F.col("j") - F.size("y")))
-    return lines.select("d", "t", F.explode(F.array_compact(F.array(forth, other))).alias("r")).select("d", "t", "r.*")
+    forth = F.when(F.col("s") + min_words <= F.col("words"), run(F.col("x"), F.col("j")))
+    other = F.when(F.col("v") - F.col("pw") >= min_words, run(F.col("y"), F.col("j") - F.size("y")))
+    evens = F.transform(F.sequence(F.lit(0), F.size("e") - min_words), lambda i: F.get(F.transform(F.array(F.slice("e", i + 1, min_words)), lambda x: run(x, F.col("j") + i)), 0))
+    return lines.select("d", "t", F.explode(F.when(F.col("even"), evens).otherwise(F.array_compact(F.array(forth, other)))).alias("r")).select("d", "t", "r.*")
 
 
 def _anchors(seqs: DataFrame, min_words: int) -> DataFrame:
-    """t, ``own`` (whether lines repeat within the text as those of a run would) and ``keys``: texts that share a run share a key.
+    """d, t, ``own`` (whether lines repeat within the text as those of a run would) and ``keys``: texts that share a run share a key.
 
     A run is one line of ``min_words``; or has a long line, of a quarter of them or more, with a neighbour on one side; or
     five short lines or more, so two neighbouring fours of short lines. The keys are such lines, all pairs with a long line and the lesser names of such two fours.
@@ -138,7 +141,7 @@ def _anchors(seqs: DataFrame, min_words: int) -> DataFrame:
     then = lambda x, y, by: x.bitwiseXOR(F.shiftrightunsigned(y, by))
     near = lambda name, i: F.get(F.col(name), i)
     few, whole = lambda u: u["w"] < long, lambda u: u["w"] >= min_words
-    df = seqs.select("t", "u")
+    df = seqs
     df = df.withColumn("x", F.array_compact(F.transform("u", lambda u, i: F.when(few(u), None).when(whole(u), u["a"]).otherwise(then(u["a"], near("u", i + 1)["a"], 1)))))
     df = df.withColumn("y", F.array_compact(F.transform("u", lambda u, i: F.when(few(u) | whole(u), None).otherwise(then(near("u", i - 1)["a"], u["a"], 1)))))
     # NULL where a line of the two, or the four, is long or missing
@@ -150,12 +153,11 @@ def _anchors(seqs: DataFrame, min_words: int) -> DataFrame:
     own = F.lit(False)
     for c in "xyq":
         own = own | (F.size(F.array_distinct(c)) < F.size(c))
-    return df.select("t", own.alias("own"), F.array_distinct(F.concat("x", "y", "z")).alias("keys"))
+    return df.select("d", "t", own.alias("own"), F.array_distinct(F.concat("x", "y", "z")).alias("keys"))
 
 
-def _sharing(docs: DataFrame, min_words: int) -> DataFrame:
+def _sharing(anchors: DataFrame) -> DataFrame:
     """t, ``own`` and ``ks`` (the keys that other texts have) of the texts that may have a repeated run."""
-    anchors = stored(_anchors(_sequences(docs), min_words))
     keys = anchors.select("t", F.explode("keys").alias("key"))
     often = keys.groupBy("key").agg(F.min("t").alias("p"), F.max("t").alias("q")).where("p <> q").select("key")
     found = keys.join(stored(often), "key").select("t", "key", F.lit(False).alias("own"))
@@ -176,7 +178,25 @@ def _stretches(seqs: DataFrame, min_words: int) -> DataFrame:
     cut = F.transform("u", lambda u, i: F.when(i + 1 < size, F.when(alone(u, i), i + 1)))
     df = seqs.withColumn("c", F.when(F.col("own"), F.array(F.lit(0), size)).otherwise(F.concat(F.array(F.lit(0)), F.array_compact(cut), F.array(size))))
     part = lambda c, k: F.struct(c.alias("o"), F.slice("u", c + 1, F.greatest(F.get(F.col("c"), k + 1) - c, F.lit(0))).alias("u"))
-    df = df.select("k", "free", "t", F.explode(F.transform(F.slice("c", 1, F.size("c") - 1), part)).alias("p")).select("k", "free", "t", "p.*")
+    df = df.select("k", "free", "t", "own", F.explode(F.transform(F.slice("c", 1, F.size("c") - 1), part)).alias("p")).select("k", "free", "t", "own", "p.*")
+    return df.withColumn("words", F.aggregate("u", F.lit(0), lambda n, u: n + u["w"])).where(F.col("words") >= min_words)
+
+
+def _pieces(parts: DataFrame, min_words: int) -> DataFrame:
+    """The stretches of texts that repeat lines of their own, cut into ``even`` pieces, their long blocks of one-word lines, and what is between with ``min_words`` - 1 lines of the blocks on either side.
+
+    A shortest run lies in one piece: not in a block only if a line outside is in it, and then with less than ``min_words`` of the block's.
+    """
+    u, size, over = F.col("u"), F.size("u"), min_words - 1
+    one = lambda i: F.coalesce(F.get(u, i)["w"] == 1, F.lit(False))
+    at = lambda step, by: F.array_compact(F.transform(u, lambda x, i: F.when((x["w"] == 1) & ~one(i + step), i + by)))
+    blocks = F.filter(F.arrays_zip(at(-1, 0).alias("lo"), at(1, 1).alias("hi")), lambda b: b["hi"] - b["lo"] >= 2 * min_words)
+    df = parts.withColumn("q", F.when(F.col("own"), blocks).otherwise(F.array().cast("array<struct<lo:int,hi:int>>")))
+    piece = lambda lo, hi, even: F.struct((F.col("o") + lo).alias("o"), F.slice("u", lo + 1, hi - lo).alias("u"), F.lit(even).alias("even"))
+    start = F.concat(F.array(F.lit(0)), F.transform("q", lambda b: b["hi"] - over))
+    end = F.concat(F.transform("q", lambda b: b["lo"] + over), F.array(size))
+    between = F.transform(F.arrays_zip(start.alias("lo"), end.alias("hi")), lambda b: piece(b["lo"], b["hi"], False))
+    df = df.select("k", "free", "t", F.explode(F.concat(between, F.transform("q", lambda b: piece(b["lo"], b["hi"], True)))).alias("p")).select("k", "free", "t", "p.*")
     return df.withColumn("words", F.aggregate("u", F.lit(0), lambda n, u: n + u["w"])).where(F.col("words") >= min_words)
 
 
@@ -196,17 +216,17 @@ def _may_have(rows: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
     return found.withColumn("_may", may).drop("_bucket", "bucket", "bits")
 
 
-def later_copies(docs: DataFrame, later: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def later_copies(docs: DataFrame, anchors: DataFrame, later: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t, parts): stretches of lines (their numbers j, both included) that lie in a later copy of a repeated run."""
-    sharing = stored(_sharing(docs, min_words))
+    sharing = stored(_sharing(anchors))
     text = docs.where("text IS NOT NULL").withColumn("t", _text_key(F.col("text")))
     name = lambda df: df.withColumn("k", F.coalesce("d", F.lit(0).cast("bigint"))).withColumn("free", F.col("d").isNull()).drop("d")
     # one document of each text that shares, and its sequence; the rest is not shuffled
-    chosen = name(text.select(F.col("doc_id").alias("d"), "t").distinct().join(later, ["d", "t"], "left_anti").join(sharing, "t"))
+    chosen = name(anchors.select("d", "t").distinct().join(later, ["d", "t"], "left_anti").join(sharing, "t"))
     some = _may_have(text, F.col("t"), stored(_bits(sharing, F.col("t")))).where("_may")
     seqs = name(_sequences(some)).join(chosen, ["k", "free", "t"])
     seqs = seqs.withColumn("_n", F.row_number().over(Window.partitionBy("k", "free", "t").orderBy("t"))).where("_n = 1")
-    rep = _runs(_stretches(seqs, min_words), min_words)
+    rep = _runs(_pieces(_stretches(seqs, min_words), min_words), min_words)
     at = stored(rep.withColumnRenamed("d", "doc"))
     first = stored(at.groupBy("a", "b", "n").agg(F.min(F.struct("doc", "t", "j")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     copies = at.join(first, ["a", "b", "n"]).where(F.struct("doc", "t", "j") > F.col("first"))
@@ -225,9 +245,10 @@ def later_copies(docs: DataFrame, later: DataFrame, min_words: int = MIN_WORDS)
 def _with_gone(docs: DataFrame, min_words: int) -> DataFrame:
     """``_row``, the row as a struct, and ``_left``: NULL, or the text that is left and the lines lost of a document that loses some."""
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    later = stored(whole_copies(plain))
+    anchors = stored(_anchors(_sequences(plain), min_words))
+    later = stored(whole_copies(anchors.select("d", "t")))
     whole = F.array(F.struct(F.lit(0).alias("from"), F.lit(_WHOLE).alias("to")))
-    gone = stored(later_copies(plain, later, min_words).unionByName(later.withColumn("parts", whole)))
+    gone = stored(later_copies(plain, anchors, later, min_words).unionByName(later.withColumn("parts", whole)))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("d"), _text_key(F.col("text")).alias("t"))
     text, parts = F.col("_row.text"), F.col("parts")
     # a whole copy with too few words for a run stays

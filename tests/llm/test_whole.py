@@ -77,6 +77,42 @@ def test_runs_of_long_and_short_lines_against_brute_force(spark):
     assert [got[k] for k in range(len(seqs))] == want and sum(map(bool, want)) > 20
 
 
+def test_line_dedup_reads_the_texts_four_times(spark):
+    docs = [(k, "\n".join(f"a{k} b{j} c{j * (k % 7)}" for j in range(40))) for k in range(60)]
+    read = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(docs, 2).map(lambda r: (read.add(1), r)[1]), "doc_id bigint, text string")
+    assert len(linedup.line_dedup(df).collect()) == 60
+    assert read.value <= 4 * 60
+
+
+def test_long_blocks_of_one_word_lines_against_brute_force(spark):
+    rng = np.random.default_rng(17)
+    sizes = [1] * 40 + [2, 7, 30, 55]
+    lines = [" ".join(f"l{k}w{m}" for m in range(n)) for k, n in enumerate(sizes)]
+    pool = list(rng.integers(0, 40, 300))
+    seqs = []
+    for _ in range(14):  # blocks of one-word lines, some with others before, between and behind them, that come again in the text and in others
+        own = []
+        for _ in range(rng.integers(1, 4)):
+            at = rng.integers(0, 150)
+            own += pool[at : at + rng.integers(45, 150)] + list(rng.integers(40, 44, rng.integers(0, 3)))
+        seqs.append(list(rng.integers(40, 44, rng.integers(0, 2))) + own + own[: rng.integers(0, 120)])
+    want = [set() for _ in seqs]
+    for v, b in enumerate(seqs):
+        for u, a in enumerate(seqs[: v + 1]):
+            n = np.zeros((len(a) + 1, len(b) + 1), int)
+            words = np.zeros_like(n)
+            for j in range(len(a) - 1, -1, -1):
+                for k in range(len(b) - 1, -1, -1):
+                    if a[j] == b[k] and (u, j) < (v, k):
+                        n[j, k], words[j, k] = n[j + 1, k + 1] + 1, words[j + 1, k + 1] + sizes[a[j]]
+                        if words[j, k] >= 50:
+                            want[v] |= set(range(k, k + n[j, k]))
+    docs = [(k, "\n".join(lines[x] for x in s)) for k, s in enumerate(seqs)]
+    got = {r["doc_id"]: {int(x) for x in r["deleted"].split(",") if x} if r["deleted"] else set() for r in linedup.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert [got[k] for k in range(len(seqs))] == want and sum(map(bool, want)) > 10
+
+
 def test_long_words_count_to_their_end():
     assert set(langid.features("abcdefghijklmnopqrstuvwxyz" * 4 + "qzq" + "z" * 30, [])) != set(langid.features("abcdefghijklmnopqrstuvwxyz" * 4 + "zzz" + "z" * 30, []))
     n = 300
