@@ -240,39 +240,96 @@ def apply_bias(pixels: DataFrame, bias: DataFrame) -> DataFrame:
     return pixels.join(b.toDF("bin1", "x"), "bin1").join(b.toDF("bin2", "y"), "bin2").select("bin1", "bin2", (F.col("value") / (F.col("x") * F.col("y"))).alias("value"))
 
 
+ROWS = 128
+
+
+def packed_rows(pixels: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """(bins, sums, blocks): the bins with a positive row sum in order, their sums, and both triangles as packed blocks of rows over them.
+
+    A block holds at most ``ROWS`` rows: their places in ``bins``, where each begins, and the places
+    and values of its cells, as the bytes of arrays. Blocks are cut to the shared folder, so pixels
+    are made once, whatever is done with them after. The driver holds vectors: a number a bin.
+    """
+    sums = marginals(pixels).where("total > 0").toArrow().sort_by("bin_id")
+    ids = sums.column("bin_id").to_numpy()
+
+    def place(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(ids, b), len(ids) - 1)
+        return at, ids[at] == b
+
+    def run(t: pa.Table) -> pa.Table:
+        rows, known = place(t.column("bin1").to_numpy())
+        cols, also = place(t.column("bin2").to_numpy())
+        ok = np.flatnonzero(known & also)
+        ok = ok[np.argsort(rows[ok], kind="stable")]
+        row, first = np.unique(rows[ok], return_index=True)
+        parts = (row.astype(np.int32), first.astype(np.int32), cols[ok].astype(np.int32), t.column("value").to_numpy()[ok])
+        return pa.table({n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("rows", "starts", "cols", "vals"), parts, strict=True)})
+
+    m = mirror(pixels) if len(ids) else mirror(pixels).limit(0)
+    blocks = m.groupBy(F.floor(F.col("bin1") / ROWS).alias("_b")).applyInArrow(run, "rows binary, starts binary, cols binary, vals binary")
+    return ids, sums.column("total").to_numpy(), cut(blocks)
+
+
+def rows_times(blocks: DataFrame, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(A v, which rows have cells) of packed rows: one pass that gives a number a row."""
+
+    def run(batches):
+        for b in batches:
+            rows, sums = [], []
+            for r, s, c, x in zip(*(b.column(k) for k in range(4)), strict=True):
+                r, s, c = (np.frombuffer(y.as_buffer(), np.int32) for y in (r, s, c))
+                if len(r):
+                    rows.append(r)
+                    sums.append(np.add.reduceat(np.frombuffer(x.as_buffer(), np.float64) * v[c], s))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(sums))], ["place", "s"])
+
+    t = blocks.mapInArrow(run, "place int, s double").toArrow()
+    out, seen = np.zeros(len(v)), np.zeros(len(v), bool)
+    at = t.column("place").to_numpy()
+    out[at], seen[at] = t.column("s").to_numpy(), True
+    return out, seen
+
+
+def _vector(spark, ids: np.ndarray, bias: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({"bin_id": pa.array(ids, pa.int64()), "bias": pa.array(bias, pa.float64())}))
+
+
 def ice(pixels: DataFrame, rounds: int = 50, tolerance: float = 1e-5, per_chrom: bool = False) -> DataFrame:
     """(bin_id, bias): iterative correction that keeps only the bias vector between rounds.
 
-    Each round is one scan of the pixels with two lookups and a combined sum per
-    bin; the vector is cut to the shared folder, the pixels are never rewritten.
+    Each round is one pass over packed rows that gives a sum a bin; the pixels are made
+    and packed once.
     """
-    px = pixels.where(intra()) if per_chrom else pixels
-    one = [chrom_of("bin_id")] if per_chrom else [F.lit(0)]
-    bias = cut(marginals(px).where("total > 0").select("bin_id", F.lit(1.0).alias("bias")))
-    for _ in range(rounds):
-        s = marginals(apply_bias(px, bias)).withColumn("u", one[0])
-        mean = s.where("total > 0").groupBy("u").agg(F.avg("total").alias("mean"))
-        s = s.join(F.broadcast(mean), "u").select("bin_id", (F.col("total") / F.col("mean")).alias("s"))
-        new = cut(bias.join(s, "bin_id", "left").select("bin_id", (F.col("bias") * F.coalesce("s", F.lit(1.0))).alias("bias"), F.coalesce("s", F.lit(1.0)).alias("s")))
-        off = new.agg(F.max(F.abs(F.col("s") - 1))).first()[0]
-        bias = new.select("bin_id", "bias")
-        if off is None or off < tolerance:
-            break
-    scale = bias.groupBy(one[0].alias("u")).agg(F.avg("bias").alias("m"))
-    return bias.withColumn("u", one[0]).join(F.broadcast(scale), "u").select("bin_id", (F.col("bias") / F.col("m")).alias("bias"))
+    ids, _, blocks = packed_rows(pixels.where(intra()) if per_chrom else pixels)
+    _, unit = np.unique(ids // STRIDE if per_chrom else np.zeros(len(ids)), return_inverse=True)
+    per = lambda x, w: np.bincount(unit, x * w) / np.bincount(unit, w)  # noqa: E731  mean over the rows w
+    bias = np.ones(len(ids))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(rounds if len(ids) else 0):
+            total, seen = rows_times(blocks, 1 / bias)
+            total = total / bias
+            mean = per(total, (seen & (total > 0)).astype(float))[unit]
+            s = np.where(seen & (mean > 0), total / mean, 1.0)
+            bias = bias * s
+            if np.abs(s - 1).max() < tolerance:
+                break
+        bias = bias / per(bias, np.ones(len(ids)))[unit] if len(ids) else bias
+    return _vector(pixels.sparkSession, ids, bias)
 
 
 def balance(pixels: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(bin_id, bias) with all row sums of v / (b_i b_j) equal to 1: the fixed point of b <- sqrt(b * (A / b)), found without a Newton step."""
-    bias = cut(marginals(pixels).where("total > 0").select("bin_id", F.sqrt("total").alias("bias")))
-    for _ in range(rounds):
-        s = marginals(apply_bias(pixels, bias))
-        new = cut(bias.join(s, "bin_id").select("bin_id", (F.col("bias") * F.sqrt("total")).alias("bias"), "total"))
-        off = new.agg(F.max(F.abs(F.col("total") - 1))).first()[0]
-        bias = new.select("bin_id", "bias")
-        if off is None or off < tolerance:
+    ids, sums, blocks = packed_rows(pixels)
+    bias, kept = np.sqrt(sums), np.ones(len(ids), bool)
+    for _ in range(rounds if len(ids) else 0):
+        total, kept = rows_times(blocks, 1 / bias)
+        total = np.where(kept, total / bias, 1.0)
+        bias = bias * np.sqrt(total)
+        if np.abs(total - 1).max() < tolerance:
             break
-    return bias
+    return _vector(pixels.sparkSession, ids[kept], bias[kept])
 
 
 def converted(pixels: DataFrame, weights: DataFrame, divide: bool = False, integers: bool = False, chrom: int | None = None) -> DataFrame:
