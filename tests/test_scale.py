@@ -43,3 +43,18 @@ def test_balancing_makes_its_pixels_twice(spark, how):
 def test_bins_of_absent_pixels_have_no_bias(spark):
     empty = pixels(spark, np.zeros((3, 3)))
     assert M.ice(empty).count() == 0 and M.balance(empty).count() == 0
+
+
+def test_homer_is_compressed_and_whole(spark, tmp_path):
+    from contactloom.sources import text
+    from test_units import bins
+
+    m = np.zeros((400, 400))
+    m[0, 399] = m[7, 7] = 2.0
+    m[0, 0], m[3, 200] = 0.5, 10.0
+    path = text.write_homer(pixels(spark, m), bins(spark, 400), f"file://{tmp_path}/homer")
+    rows = spark.read.text(path).where("value NOT LIKE 'HiCMatrix%'").collect()
+    assert sorted(len(r[0].split("\t")) for r in rows) == [402] * 400
+    got = {(r["start1"] // 10, r["start2"] // 10): r["value"] for r in text.read_homer(spark, path).collect()}
+    assert got == {(i, j): m[i, j] for i, j in zip(*np.nonzero(m), strict=True)}
+    assert sum(f.stat().st_size for f in (tmp_path / "homer").iterdir()) < 400 * 400
