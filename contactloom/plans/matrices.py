@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..frames import intra
+from ..frames import cut, intra, rounded, spread
 from ..operators import matrix as M
 from ..registry import register
 from ..sources import tables as T
@@ -12,7 +12,7 @@ from .base import BINS, PX, sql
 
 
 def _r(df, *columns, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in columns or ("value",)})
+    return df.withColumns({c: rounded(c, digits) for c in columns or ("value",)})
 
 
 def _inputs(spark, d):
@@ -189,7 +189,7 @@ def ice_fixed_point(spark, d):
     px = T.pixels(spark, d)
     m = M.marginals(M.apply_bias(px, M.ice(px, rounds=500))).where("total > 0")
     mean = m.agg(F.avg("total").alias("mean"))
-    return m.crossJoin(F.broadcast(mean)).select("bin_id", F.round(F.col("total") / F.col("mean"), 4).alias("s"))
+    return m.crossJoin(F.broadcast(mean)).select("bin_id", rounded(F.col("total") / F.col("mean"), 4).alias("s"))
 
 
 @register("ice_per_chromosome", sql("SELECT DISTINCT bin1 AS bin_id, 1.0::DOUBLE AS s FROM full_px WHERE bin1 // 1000000 = bin2 // 1000000", *PX, "full_px"))
@@ -198,14 +198,14 @@ def ice_per_chromosome(spark, d):
     px = T.pixels(spark, d).where(intra())
     m = M.marginals(M.apply_bias(px, M.ice(px, rounds=500, per_chrom=True))).where("total > 0").withColumn("chrom", F.floor(F.col("bin_id") / 1_000_000))
     mean = m.groupBy("chrom").agg(F.avg("total").alias("mean"))
-    return m.join(F.broadcast(mean), "chrom").select("bin_id", F.round(F.col("total") / F.col("mean"), 4).alias("s"))  # a row per chromosome
+    return m.join(F.broadcast(mean), "chrom").select("bin_id", rounded(F.col("total") / F.col("mean"), 4).alias("s"))  # a row per chromosome
 
 
 @register("balance_fixed_point", sql("SELECT DISTINCT bin1 AS bin_id, 1.0::DOUBLE AS s FROM full_px", *PX, "full_px"))
 def balance_fixed_point(spark, d):
     """Row sums of the balanced matrix: 1 in every bin."""
     px = T.pixels(spark, d)
-    return M.marginals(M.apply_bias(px, M.balance(px))).select("bin_id", F.round("total", 4).alias("s"))
+    return M.marginals(M.apply_bias(px, M.balance(px))).select("bin_id", rounded("total", 4).alias("s"))
 
 
 @register("balanced_matrix")
@@ -219,7 +219,7 @@ def balanced(spark, d):
 def inflation(spark, d):
     px = T.pixels(spark, d)
     after = M.marginals(px.withColumn("value", F.least("value", F.lit(5.0))))
-    return M.marginals(px).join(after.withColumnRenamed("total", "t2"), "bin_id").select("bin_id", F.round(F.col("t2") / F.col("total"), 6).alias("ratio"))
+    return M.marginals(px).join(after.withColumnRenamed("total", "t2"), "bin_id").select("bin_id", rounded(F.col("t2") / F.col("total"), 6).alias("ratio"))
 
 
 @register("submatrix", sql("SELECT bin1, bin2, value FROM px WHERE bin1 BETWEEN 1000002 AND 1000012 AND bin2 BETWEEN 2000005 AND 2000020", *PX))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..frames import rounded
 from ..operators import matrix as M
 from ..operators import pairs as P
 from ..registry import register
@@ -112,7 +113,7 @@ def bedgraph(spark, d):
     x = _points(spark, d).select("chrom", "start", (F.col("end") + 7000).alias("end"), (F.col("id") % 10).cast("double").alias("value"))
     track = X.read_bedgraph(spark, X.write_fields(x, X.new_path(spark)))
     bins = T.fixed_bins(spark, d).withColumn("chrom", F.concat(F.lit("chr"), F.col("chrom").cast("string")))
-    return X.track_over_bins(track, bins).select("bin_id", F.round("value", 6).alias("value"))
+    return X.track_over_bins(track, bins).select("bin_id", rounded("value", 6).alias("value"))
 
 
 @register("text_thresholds", "SELECT r AS rel_pos, 0.5::DOUBLE AS value FROM (SELECT unnest(range(-20000, 21000, 1000)) AS r)")

@@ -58,3 +58,15 @@ def test_homer_is_compressed_and_whole(spark, tmp_path):
     got = {(r["start1"] // 10, r["start2"] // 10): r["value"] for r in text.read_homer(spark, path).collect()}
     assert got == {(i, j): m[i, j] for i, j in zip(*np.nonzero(m), strict=True)}
     assert sum(f.stat().st_size for f in (tmp_path / "homer").iterdir()) < 400 * 400
+
+
+def test_rounding_is_that_of_the_statements(spark):
+    import duckdb
+
+    from contactloom.plans import features, matrices
+
+    values = [k / 2000 + 0.0000005 for k in range(-2000, 2000)]
+    want = [r[0] for r in duckdb.connect().execute("SELECT round(unnest(?::DOUBLE[]), 6)", [values]).fetchall()]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, value double").coalesce(1)
+    assert [r["value"] for r in features._r(df, "value").orderBy("k").collect()] == want
+    assert [r["value"] for r in matrices._r(df).orderBy("k").collect()] == want
