@@ -70,3 +70,12 @@ def test_rounding_is_that_of_the_statements(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, value double").coalesce(1)
     assert [r["value"] for r in features._r(df, "value").orderBy("k").collect()] == want
     assert [r["value"] for r in matrices._r(df).orderBy("k").collect()] == want
+
+
+def test_relation_lines_of_ids_that_two_chromosomes_share(spark):
+    from contactloom.operators import chains as C
+    from contactloom.operators import features as X
+
+    d = spark.createDataFrame([(c, s, e, i) for c in (1, 2) for s, e, i in ((0, 100, 1), (10, 60, 2))], "chrom bigint, start bigint, end bigint, id bigint")
+    got = sorted(tuple(r) for r in C.relation_lines(X.domain_relations(d)).collect())
+    assert got == [(1, '"1" -> "2";'), (2, '"1" -> "2";')]
