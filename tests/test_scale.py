@@ -79,3 +79,22 @@ def test_relation_lines_of_ids_that_two_chromosomes_share(spark):
     d = spark.createDataFrame([(c, s, e, i) for c in (1, 2) for s, e, i in ((0, 100, 1), (10, 60, 2))], "chrom bigint, start bigint, end bigint, id bigint")
     got = sorted(tuple(r) for r in C.relation_lines(X.domain_relations(d)).collect())
     assert got == [(1, '"1" -> "2";'), (2, '"1" -> "2";')]
+
+
+@pytest.mark.parametrize("mode", ["intra-chr", "inter-chr", "all"])
+def test_anchor_pairs_shuffle_bins_not_pairs(spark, mode):
+    from contactloom.operators import chains as C
+
+    rng = np.random.default_rng(3)
+    sides = [[(int(r), int(b) // 40, int(b) // 40 * 1_000_000 + int(b) % 40, "+-"[r % 2]) for r, b in zip(rng.permutation(60), rng.integers(0, 80, 60), strict=True)] for _ in range(2)]
+    a, b = (spark.createDataFrame(s, "row bigint, chrom bigint, bin_id bigint, strand string") for s in sides)
+    want = {}
+    for ra, ca, x, sa in sides[0]:
+        for rb, cb, y, sb in sides[1]:
+            if x != y and {"intra-chr": ca == cb and 4 <= abs(x - y) <= 20, "inter-chr": ca != cb, "all": True}[mode]:
+                new = ((ra, rb), sb + sa if x > y else sa + sb)
+                want[min(x, y), max(x, y)] = min(want.get((min(x, y), max(x, y)), new), new)
+    out = C.anchor_pairs(a, b, mode, 4, 20)
+    rows = out.collect()
+    assert {(r["bin1"], r["bin2"]): r["strands"] for r in rows} == {k: v[1] for k, v in want.items()} and len(rows) == len(want)
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
