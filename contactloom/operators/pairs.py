@@ -30,8 +30,9 @@ def pick_supplementary(alignments: DataFrame) -> DataFrame:
     """One record per read, that which starts to match first; reverse reads are scanned from their end."""
     ends = F.array_join(F.reverse(F.regexp_extract_all("cigar", F.lit(r"(\d+[A-Z=])"), F.lit(1))), "")
     start = aligned_start(F.when(F.col("flag").bitwiseAND(16) != 0, ends).otherwise(F.col("cigar")))
-    best = alignments.groupBy("read_id").agg(F.min_by(F.struct(*alignments.columns), F.struct(start, "chrom", "pos")).alias("r"))
-    return best.select("r.*")
+    # a column each, so that those nobody asks for are not shuffled
+    keyed = alignments.withColumn("_at", F.struct(start.alias("start"), "chrom", "pos"))
+    return keyed.groupBy("read_id").agg(*[F.min_by(c, "_at").alias(c) for c in alignments.columns if c != "read_id"]).select(*alignments.columns)
 
 
 def quality_class(min_mapq: int = MIN_MAPQ) -> Column:

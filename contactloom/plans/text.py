@@ -165,7 +165,7 @@ def sam_pairs(spark, d):
             F.struct(flag.alias("flag"), F.lit("36M").alias("cigar")), F.struct((flag + 256).alias("flag"), F.lit("36M").alias("cigar")), F.struct((flag + 2048).alias("flag"), F.lit("9S18M9S").alias("cigar")))).alias("r"))
         other = F.when(F.col("r.flag") >= 2048, 7).otherwise(0)
         sam = rows.select("read_id", "r.flag", "chrom", (F.col("pos") + 1 + other).alias("pos"), "mapq", "r.cigar", F.lit("*").alias("n"), F.lit(0).alias("m"), F.lit(0).alias("t"), F.lit("A" * 36).alias("seq"), F.lit("*").alias("q"))
-        paths.append(X.write_fields(sam, X.new_path(spark), "@HD\tVN:1.6"))
+        paths.append(X.write_fields(sam, X.new_path(spark), "@HD\tVN:1.6", compression="gzip"))
     x = X.paired(*[X.read_sam(spark, at) for at in paths])
     return x.select("read_id", *[f"{c}{k}" for k in (1, 2) for c in ("chrom", "pos", "mapq", "rev")])
 

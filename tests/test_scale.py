@@ -98,3 +98,40 @@ def test_anchor_pairs_shuffle_bins_not_pairs(spark, mode):
     rows = out.collect()
     assert {(r["bin1"], r["bin2"]): r["strands"] for r in rows} == {k: v[1] for k, v in want.items()} and len(rows) == len(want)
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dense_stretch_of_loops_against_brute_force(spark):
+    from contactloom.operators import features as X
+
+    rng = np.random.default_rng(9)
+    every = sorted({("a", s, s + 1000, "a", s + 20_000, s + 20_000 + 500 * w) for s, w in zip(rng.integers(0, 40_000, 1500).tolist(), rng.integers(1, 8, 1500).tolist(), strict=True)})
+    order = lambda x: (x[5] - x[4], -x[1], -x[4], -x[2])
+    near = lambda x, y: x[1] - 2000 < y[2] and y[1] < x[2] + 2000 and x[4] - 2000 < y[5] and y[4] - 2000 < x[5]
+    want = sorted(x for x in every if not any(near(x, y) and order(y) > order(x) for y in every))
+    df = spark.createDataFrame(every, "chrom1 string, start1 bigint, end1 bigint, chrom2 string, start2 bigint, end2 bigint")
+    out = X.merge_loops(df, 2000)
+    assert sorted(map(tuple, out.collect())) == want
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().optimizedPlan().toString()  # no join that makes pairs
+
+
+def test_mates_are_dealt_by_the_size_of_their_files(spark, monkeypatch):
+    from contactloom import frames
+    from contactloom.sources import tables as T
+
+    monkeypatch.setattr(frames, "PART", 1 << 12)
+    few = T.pixels(spark, "/root/testdata/sf0.001").rdd.getNumPartitions()
+    monkeypatch.setattr(frames, "PART", 1 << 10)
+    assert T.pixels(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 2 * few
+
+
+def test_dense_cells_are_not_shuffled(spark):
+    """One row per bin and tile of columns leaves a task; a test of values is in test_units."""
+    m = symmetric(150, 5)
+    m[:, 7] = m[7, :] = 0
+    from test_units import bins
+
+    out = M.covariance(pixels(spark, m), bins(spark, 150), tile=64)
+    got = {(r["bin1"], r["bin2"]): r["value"] for r in out.collect()}
+    want = np.cov(m)
+    assert len(got) == 150 * 151 // 2 and all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+    assert out._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith(("Project", "Generate"))
