@@ -122,7 +122,7 @@ def _block_pairs(pixels: DataFrame, tile: int) -> DataFrame:
 
 
 def row_products(pixels: DataFrame, bins: DataFrame, tile: int = TILE) -> DataFrame:
-    """(bin1, bin2, s) with s(k, l) = sum v_ki v_li, zeros left out, one chromosome's cells at a time.
+    """(bin1, bin2, s) with s(k, l) = sum v_ki v_li, zeros left out: a blocked product, whatever the degree of a bin."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, i, j = (x.as_py() for x in key)
